@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 #: Modules that have QUERIES, and ORACLE_SQL where SQL can express the query.
-MODULES = ("q01_bpe", "q02_sharding", "q05_media", "q07_warc", "q09_packing", "q10_chat")
+MODULES = ("q01_bpe", "q02_sharding", "q03_toxicity", "q05_media", "q07_warc", "q09_packing", "q10_chat")
 
 
 def _modules() -> list:
