@@ -10,6 +10,7 @@ length is a power of two need no padding and are looked up as extra predecessors
 from __future__ import annotations
 
 import re
+import struct
 import zlib
 from collections import deque
 from collections.abc import Iterator
@@ -36,17 +37,21 @@ STEP = 64
 #: Tokens after which a task settles its windows but for the last two.
 BLOCK = 1 << 19
 #: Chunks whose ids a worker remembers, in each of two generations.
-CACHE_ENTRIES = 250_000
+CACHE_ENTRIES = 600_000
 _MARKS = frozenset(",.;:!?")
 #: A space next to other white space.
 _RUN = re.compile(r" \s|\s ")
 
+#: Byte-level vocabularies write printable bytes as themselves and the others, in order, from U+0100 on.
+_PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BYTES = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
+
 
 class _Chunks(dict):
     """Ids, as little-endian 32-bit words, of a chunk of text after a given lead ("" or a space)."""
 
-    def __init__(self, encode, lead: str, plain: dict | None):
-        self.encode, self.lead, self.plain, self.old = encode, lead, self if plain is None else plain, {}
+    def __init__(self, encode, word, lead: str, plain: dict | None):
+        self.encode, self.word, self.lead, self.plain, self.old = encode, word, lead, self if plain is None else plain, {}
 
     def __missing__(self, chunk: str) -> bytes:
         ids = self.old.get(chunk)
@@ -60,7 +65,10 @@ class _Chunks(dict):
         return ids
 
     def _compute(self, chunk: str) -> bytes:
-        """A line break between characters that aren't white space, and one mark after a letter or digit, are always pre-tokens of their own."""
+        """A line break between characters that aren't white space, and one mark after a letter or digit, are
+        always pre-tokens of their own; letters alone are one pre-token, with a space before them too."""
+        if chunk.isalpha():
+            return self.word(self.lead + chunk)
         head, line, tail = chunk.partition("\n")
         if line and head and tail and not head[-1].isspace() and not tail[0].isspace():
             return self[head] + self.plain["\n"] + self.plain[tail]
@@ -79,8 +87,9 @@ class Encoder:
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.first = _Chunks(self._encode, "", None)
-        self.rest = _Chunks(self._encode, " ", self.first)
+        self.model = self.tokenizer.model
+        self.first = _Chunks(self._encode, self._word, "", None)
+        self.rest = _Chunks(self._encode, self._word, " ", self.first)
         size = self.tokenizer.get_vocab_size()
         names = (self.tokenizer.id_to_token(i) or "" for i in range(size))
         # "Ċ" stands for a line break in byte-level vocabularies
@@ -89,6 +98,14 @@ class Encoder:
     def _encode(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def _word(self, word: str) -> bytes:
+        """Ids of one pre-token, by the model alone: its bytes as the characters that stand for them."""
+        if word.isascii():
+            tokens = self.model.tokenize("Ġ" + word[1:] if word[0] == " " else word)
+        else:
+            tokens = self.model.tokenize(word.encode().decode("latin-1").translate(_BYTES))
+        return struct.pack(f"<{len(tokens)}I", *[t.id for t in tokens])
+
     def __call__(self, text: str) -> bytes:
         if not text:
             return b""
