@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
 import tempfile
 import uuid
@@ -34,15 +35,37 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows that a task turns into Python objects at a time.
+SLICE = 512
+
+
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = SLICE) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of at most `rows` rows; what a batch needed is given back before the next one."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+        del batch
+        release()
+
+
+def release() -> None:
+    """Give freed memory back to the system: Arrow's pool keeps it otherwise, and so does the C library, where it can be told."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
+
+
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
 def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], dict[str, Iterable]], schema: str) -> DataFrame:
     """mapInArrow for a function that turns a batch into columns named as in `schema`."""
     target = _arrow_schema(df.sparkSession, schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                out = fn(batch)
-                yield pa.RecordBatch.from_arrays([_array(out[f.name], f.type) for f in target], schema=target)
+        for batch in sliced(batches):
+            out = fn(batch)
+            yield pa.RecordBatch.from_arrays([_array(out[f.name], f.type) for f in target], schema=target)
 
     return df.mapInArrow(run, schema)
 

@@ -16,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from framewright.llm.common import mix64, saved, texts_of
+from framewright.llm.common import mix64, saved, sliced, texts_of
 
 #: Code points of a k-mer, buckets of a signature (a power of two), items of a bucket's tuple.
 K, BUCKETS, TUPLE = 8, 64, 2
@@ -155,7 +155,7 @@ def with_next(documents: DataFrame) -> DataFrame:
             arrays = [pa.array([v], k) for v, k in zip(values, _KINDS, strict=True)]
             return pa.RecordBatch.from_arrays([*arrays, pa.array([kind], pa.int32()), pa.array([part], pa.int32()), pa.array([row[1]], pa.string())], [*_NAMES, "kind", "pid", "edge_text"])
 
-        for batch in batches:
+        for batch in sliced(batches):
             out: dict = {n: [] for n in _NAMES}
             for doc_id, text in zip(batch.column(0).to_pylist(), texts_of(batch), strict=True):
                 now = (doc_id, text, signature(text))

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from framewright.llm.common import arrow_map, saved, texts_of
+from framewright.llm.common import arrow_map, saved, sliced, texts_of
 from framewright.llm.components import components
 from framewright.llm.shingles import frequent, shingle_set
 
@@ -178,7 +178,7 @@ def plausible(blocks: DataFrame, percent: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         u, v, size = [], [], 0
-        for block in grouped(batches, 3):
+        for block in grouped(sliced(batches, 1 << 14), 3):
             if block.num_rows < 2:
                 continue
             sizes = block.column("n").to_numpy().astype(np.int64)
@@ -201,7 +201,7 @@ def verified(groups: DataFrame, percent: int) -> DataFrame:
     """Edges (u, v) of a spanning forest of the exact links, of rows (root, a, b, n, rep, hashes)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in grouped(batches, 3):
+        for block in grouped(sliced(batches), 3):
             if block.num_rows < 2:
                 continue
             sizes = block.column("n").to_numpy().astype(np.int64)
@@ -246,7 +246,7 @@ def similar_classes(documents: DataFrame, width: int = 5, percent: int = 80) ->
 
     def sets(batch: pa.RecordBatch) -> dict:
         found = [shingle_set(x, width) for x in texts_of(batch)]
-        return {"root": batch.column(0), "rep": batch.column(1), "m": batch.column(2), "n": [len(x) for x in found], "hashes": [x.tobytes() for x in found]}
+        return {"root": batch.column(0), "rep": batch.column(1), "m": batch.column(2), "n": [len(x) for x in found], "hashes": [memoryview(x).cast("B") for x in found]}
 
     texts = wanted.join(documents.select(F.col("doc_id").cast("long").alias("rep"), "text").filter("rep IS NOT NULL"), "rep").select("root", "rep", "m", "text")
     groups = arrow_map(texts, sets, "root long, rep long, m long, n int, hashes binary")

@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from tokenizers import Tokenizer
 
-from framewright.llm.common import texts_of
+from framewright.llm.common import sliced, texts_of
 
 #: Tokens of a sequence.
 LIMIT = 1024
@@ -237,7 +237,7 @@ def pack(documents: DataFrame, tokenizer_path: str, limit: int = LIMIT, block: i
             if pieces:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*pieces, strict=True)], names)
 
-        for batch in batches:
+        for batch in sliced(batches):
             for doc_id, text in zip(batch.column(0).to_pylist(), texts_of(batch), strict=True):
                 yield from rows(packer.add(doc_id, encode(text) + close))
         if packer.waiting:

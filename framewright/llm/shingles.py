@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from framewright.llm.common import mix64, texts_of
+from framewright.llm.common import mix64, sliced, texts_of
 
 #: A shingle is frequent if this share of a batch's documents has it, and at least LEAST_COUNT of them.
 #: By the share, there are at most (mean shingles of a document) / SHARE of them, however many documents.
@@ -54,7 +54,7 @@ def frequent(documents: DataFrame, width: int) -> np.ndarray:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingle_set(x, width) for x in texts_of(batch)]
+            sets = [shingle_set(x, width) for part in sliced(iter([batch])) for x in texts_of(part)]
             if not sets:
                 continue
             found, counts = np.unique(np.concatenate(sets), return_counts=True)

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from framewright.llm.common import arrow_map, texts_of
+from framewright.llm.common import arrow_map, sliced, texts_of
 
 #: The largest number of labelled rows that a model is fitted on; the sample is the rows of least id hash.
 SAMPLE_ROWS = 8000
@@ -86,7 +86,7 @@ def _vocabulary(sample: DataFrame, toxic: int, clean: int) -> list[tuple[str, fl
     """Features that tell toxic from clean texts, at most FEATURES, with their log-odds."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             kinds = batch.column(1).to_pylist()
             for text, kind in zip(texts_of(batch), kinds, strict=True):
                 found = sorted({f for token in set(text.lower().split()) for f in word_features(token)})
@@ -196,7 +196,7 @@ def score(documents: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         finder = _Finder(model.weights)
-        for batch in batches:
+        for batch in sliced(batches):
             counts = [finder.counts(x or "") for x in batch.column(at).to_pylist()]
             z = np.array([sum(model.weights[f] * (1 + np.log(n)) for f, n in sorted(c.items())) for c in counts], np.float64)
             severity = np.round(model.expected(z), 6)
