@@ -1,0 +1,40 @@
+from __future__ import annotations
+
+from framewright.llm import chat
+from framewright.llm.q10_chat import ORACLE_SQL, op10_chat
+from tests.compare import canonical, duck
+
+SF = "/root/testdata/sf0.001"
+ROW = "conv_id long, turn long, role string, text string, seq string"
+
+
+def test_query_agrees_with_sql(spark):
+    assert canonical(op10_chat(spark, SF).toPandas()) == canonical(duck(SF, ORACLE_SQL["op10_chat"]))
+
+
+def test_every_seat(spark):
+    rows = [(1, 0, "system", "rules", ""), (1, 1, "ann", "hi", ""), (1, 2, "bob", None, ""), (1, 3, "ann", "é!", ""), (2, 0, "system", "alone", ""), (None, 5, None, "lost", "")]
+    found = {(r.conv_id, r.perspective): r for r in chat.rotate(spark.createDataFrame(rows, ROW)).collect()}
+    assert set(found) == {(1, "ann"), (1, "bob"), (None, "unknown")}
+    ann = found[1, "ann"]
+    assert ann.text == "<|system|>\nrules<|end|>\n<|assistant|>\nhi<|end|>\n<|user name=bob|>\n<|end|>\n<|assistant|>\né!<|end|>\n"
+    assert [ann.text[a:b] for a, b in ann.mask] == ["hi<|end|>\n", "é!<|end|>\n"]
+    bob = found[1, "bob"]
+    assert "<|user name=ann|>\nhi" in bob.text and [bob.text[a:b] for a, b in bob.mask] == ["<|end|>\n"]
+
+
+def test_parts_join_to_the_whole(spark):
+    rows = [(1, i // 2, "ab"[i % 2], "x" * (i % 5), "") for i in range(100)] + [(1, 0, "a", "", "")]
+    messages = spark.createDataFrame(rows, ROW).repartition(4)
+    whole = {r.perspective: r for r in chat.rotate(messages, part=1000).collect()}
+    for seat in "ab":
+        parts = sorted((r for r in chat.rotate(messages, part=7).collect() if r.perspective == seat), key=lambda r: r.part)
+        assert "".join(p.text for p in parts) == whole[seat].text and len(parts) == 15
+        assert all(p.first_char == len("".join(q.text for q in parts[:i])) for i, p in enumerate(parts))
+        assert [(a + p.first_char, b + p.first_char) for p in parts for a, b in p.mask] == [tuple(x) for x in whole[seat].mask]
+    assert chat.rotate(messages.limit(0)).count() == 0
+
+
+def test_only_built_in_functions_run(spark):
+    plan = chat.rotate(spark.createDataFrame([], ROW))._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
