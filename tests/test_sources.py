@@ -101,7 +101,7 @@ pipelines:
     tasks:
       - {name: plain, script: run.py, args: ["--out", "{out}", "{missing}", "{{x}}"], env: {A: "{pipeline_type}"}}
       - {name: fast, script: "pkg.mod", python_module: true, use_accelerate: true, num_processes: "2", mixed_precision: bf16}
-  - {name: off, type: vision, repo_path: /abs, enabled: false, tasks: [{name: t, script: s}]}
+  - {name: spare, type: vision, repo_path: /abs, enabled: false, tasks: [{name: t, script: s}]}
   - {name: truthy, type: vision, repo_path: /abs, enabled: "false"}
 """
 
@@ -128,14 +128,14 @@ def test_overrides_and_selection(project_file, spark):
     project = load_project(project_file)
     project.override(parse_overrides([" tag = a=b", "pipeline:one.out=/o", "tag=later"]))
     assert project.context["tag"] == "later" and next(Runner(project, environment={}).steps()).command[3] == "/o"
-    assert list(Runner(project).steps(["off", "nobody"])) == []
+    assert list(Runner(project).steps(["spare", "nobody"])) == []
     with pytest.raises(KeyError):
         project.override([("pipeline:nobody.x", "1")])
     with pytest.raises(ValueError):
         parse_overrides(["novalue"])
     table = pipeline_table(spark, project)
-    assert [(r.name, r.status) for r in overview(table).collect()] == [("one", "enabled"), ("off", "disabled"), ("truthy", "enabled")]
-    only = spark.createDataFrame([("one",), ("off",), ("nobody",)], "name string")
+    assert [(r.name, r.status) for r in overview(table).collect()] == [("one", "enabled"), ("spare", "disabled"), ("truthy", "enabled")]
+    only = spark.createDataFrame([("one",), ("spare",), ("nobody",)], "name string")
     assert [r.name for r in selected(table, only).collect()] == ["one"]
     assert task_table(spark, project).filter("use_accelerate").first().num_processes == 2
 
@@ -167,7 +167,7 @@ def test_parts():
 
 def test_command_line(project_file, capsys):
     assert main(["--config", str(project_file), "--list"]) == 0
-    assert "off [vision] disabled" in capsys.readouterr().out
+    assert "spare [vision] disabled" in capsys.readouterr().out
     assert main(["--config", str(project_file), "--dry-run", "--only", "one", "--set", "tag=z"]) == 0
     assert "--x=z" in capsys.readouterr().out
     with pytest.raises(SystemExit) as e:
