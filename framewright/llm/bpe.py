@@ -27,7 +27,7 @@ SHIFT, MASK = 8, 255
 #: Short pre-tokens and chunks whose ids a worker remembers, in each of two generations.
 CACHE_ENTRIES = 500_000
 #: A space next to other white space: such texts go through the whole pattern, see `Codec.encode`.
-_RUN = re.compile(r" \s|\s ")
+_RUN = re.compile(r" (?:(?=\s)|(?<=\s ))")
 #: Marks that are a match of the pattern by themselves after a letter or digit at the end of a text.
 _MARKS = frozenset(",.;:!?")
 

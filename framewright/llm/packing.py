@@ -37,10 +37,10 @@ STEP = 64
 #: Tokens after which a task settles its windows but for the last two.
 BLOCK = 1 << 19
 #: Chunks whose ids a worker remembers, in each of two generations.
-CACHE_ENTRIES = 600_000
+CACHE_ENTRIES = 900_000
 _MARKS = frozenset(",.;:!?")
 #: A space next to other white space.
-_RUN = re.compile(r" \s|\s ")
+_RUN = re.compile(r" (?:(?=\s)|(?<=\s ))")
 
 #: Byte-level vocabularies write printable bytes as themselves and the others, in order, from U+0100 on.
 _PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
