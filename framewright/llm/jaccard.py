@@ -77,20 +77,19 @@ class SignatureTree:
         return may
 
 
-def link(sizes: np.ndarray, maps: np.ndarray, percent: int, check: Callable[[int, int], bool] | None) -> np.ndarray:
-    """Labels of the components of links among items sorted by size, by dual traversal of their signature tree.
+def link(sizes: np.ndarray, maps: np.ndarray, percent: int, check: Callable[[int, int], bool] | None, labels: np.ndarray, at: np.ndarray) -> None:
+    """Join the labels of linked items among those at places `at`, sorted by size, by dual traversal of their signature tree.
 
-    `check` decides a pair that the tree can't prune; None takes it. Pairs and node pairs whose items are
-    connected already are left out.
+    `check` decides a pair of places that the tree can't prune; None takes it. Pairs and node pairs whose
+    items are connected already are left out. labels are changed in place.
     """
-    labels = np.arange(len(sizes))
     tree = SignatureTree(sizes, maps)
     top = len(tree.levels) - 1
     stack = [(top, 0, 0)] if len(sizes) > 1 else []
     while stack:
         level, a, b = stack.pop()
         span = FAN**level
-        la, lb = labels[a * span : (a + 1) * span], labels[b * span : (b + 1) * span]
+        la, lb = labels[at[a * span : (a + 1) * span]], labels[at[b * span : (b + 1) * span]]
         if (la == la[0]).all() and (lb == la[0]).all():
             continue
         level -= 1
@@ -103,9 +102,31 @@ def link(sizes: np.ndarray, maps: np.ndarray, percent: int, check: Callable[[int
             p, q = int(i[x]), int(j[y])
             if level:
                 stack.append((level, p, q))
-            elif labels[p] != labels[q] and (check is None or check(p, q)):
+                continue
+            p, q = int(at[p]), int(at[q])
+            if labels[p] != labels[q] and (check is None or check(p, q)):
                 one, other = labels[p], labels[q]
                 labels[labels == max(one, other)] = min(one, other)
+
+
+def linked(sizes: np.ndarray, maps: list[bytes], percent: int, check: Callable[[int, int], bool] | None) -> np.ndarray:
+    """Labels of the components of links among items sorted by size.
+
+    Items whose bitmaps have one width share a tree, so large sets aren't folded to a width at which they
+    fill it. Items of two widths meet, at the lesser one, if their sizes are near enough for a link.
+    """
+    labels = np.arange(len(sizes))
+    widths = np.array([len(m) for m in maps])
+    places = [np.flatnonzero(widths == w) for w in np.unique(widths)]
+    for k, own in enumerate(places):
+        link(sizes[own], folded([maps[i] for i in own]), percent, check, labels, own)
+        for other in places[k + 1 :]:
+            near = own[100 * sizes[own] >= percent * sizes[other].min()]
+            far = other[percent * sizes[other] <= 100 * sizes[own].max()]
+            if len(near) and len(far):
+                both = np.concatenate([near, far])
+                both = both[np.argsort(sizes[both], kind="stable")]
+                link(sizes[both], folded([maps[i] for i in both]), percent, check, labels, both)
     return labels
 
 
@@ -183,7 +204,7 @@ def plausible(blocks: DataFrame, percent: int) -> DataFrame:
                 continue
             sizes = block.column("n").to_numpy().astype(np.int64)
             nodes = block.column("rep").to_numpy()
-            labels = link(sizes, folded(block.column("bits").to_pylist()), percent, None)
+            labels = linked(sizes, block.column("bits").to_pylist(), percent, None)
             one, other = _forest(nodes, labels)
             u.append(one)
             v.append(other)
@@ -206,14 +227,14 @@ def verified(groups: DataFrame, percent: int) -> DataFrame:
                 continue
             sizes = block.column("n").to_numpy().astype(np.int64)
             nodes = block.column("rep").to_numpy()
-            sets = [np.frombuffer(x, np.uint64) for x in block.column("hashes").to_pylist()]
+            sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in block.column("hashes")]
 
             def check(i: int, j: int, sets: list = sets) -> bool:
                 one, other = (sets[i], sets[j]) if len(sets[i]) <= len(sets[j]) else (sets[j], sets[i])
                 common = int((other[np.minimum(np.searchsorted(other, one), len(other) - 1)] == one).sum())
                 return 100 * common >= percent * (len(one) + len(other) - common)
 
-            labels = link(sizes, folded([bitmap(x) for x in sets]), percent, check)
+            labels = linked(sizes, [bitmap(x) for x in sets], percent, check)
             one, other = _forest(nodes, labels)
             if len(one):
                 yield pa.RecordBatch.from_arrays([pa.array(one), pa.array(other)], ["u", "v"])

@@ -55,7 +55,7 @@ def test_tree_loses_no_link(lists, percent):
     sets = sorted((shingle_set(" ".join(map(str, sorted(set(x)))), 1) for x in lists), key=len)
     sizes = np.array([len(s) for s in sets], np.int64)
     near = lambda i, j: 100 * len(np.intersect1d(sets[i], sets[j])) >= percent * len(np.union1d(sets[i], sets[j]))
-    labels = J.link(sizes, J.folded([J.bitmap(s) for s in sets]), percent, near)
+    labels = J.linked(sizes, [J.bitmap(s) for s in sets], percent, near)
     want = list(range(len(sets)))
     for i in range(len(sets)):
         for j in range(i):
@@ -65,6 +65,22 @@ def test_tree_loses_no_link(lists, percent):
     assert labels.tolist() == want
 
 
+def test_widths_meet_at_their_border(monkeypatch):
+    monkeypatch.setattr(J, "LEAST_BITS", 64)
+    draw = random.Random(8)
+    sets = []
+    for n in (58, 60, 63, 64, 66, 70, 120, 127, 129, 140, 250, 262, 600):
+        base = draw.sample(range(10**6), n)
+        sets += [shingle_set(" ".join(map(str, base[: n - cut])), 1) for cut in (0, 2, n // 12)]
+    sets.sort(key=len)
+    near = lambda i, j: 100 * len(np.intersect1d(sets[i], sets[j])) >= 85 * len(np.union1d(sets[i], sets[j]))
+    labels = J.linked(np.array([len(s) for s in sets]), [J.bitmap(s) for s in sets], 85, near)
+    for i in range(len(sets)):
+        for j in range(i):
+            assert not near(i, j) or labels[i] == labels[j]
+    assert len(set(labels.tolist())) == 13
+
+
 def test_folding_keeps_bits():
     small, large = shingle_set("a b c", 1), shingle_set(" ".join(map(str, range(3000))), 1)
     assert len(J.bitmap(large)) == 512 and J.folded([J.bitmap(small), J.bitmap(large)]).shape == (2, 16)
