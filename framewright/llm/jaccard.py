@@ -33,6 +33,8 @@ FAN = 16
 LEAST_BITS, MOST_BITS = 1024, 1 << 15
 #: Members from which a block is dealt over pairs of sub-blocks.
 SPLIT = 4096
+#: Most members of plausible groups (rows of three numbers, 48 bytes each) that are broadcast to the texts; more are joined by a shuffle.
+BROADCAST_ROWS = 1 << 18
 
 
 def bitmap(hashes: np.ndarray) -> bytes:
@@ -264,6 +266,8 @@ def similar_classes(documents: DataFrame, width: int = 5, percent: int = 80) ->
 
     counted = near.groupBy("root").agg(F.count(F.lit(1)).alias("m"))
     wanted = near.join(counted, "root").withColumnRenamed("node", "rep")
+    if near.count() <= BROADCAST_ROWS:
+        wanted = F.broadcast(wanted)
 
     def sets(batch: pa.RecordBatch) -> dict:
         found = [shingle_set(x, width) for x in texts_of(batch)]

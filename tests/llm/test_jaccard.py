@@ -42,6 +42,13 @@ def test_classes_like_all_pairs(spark, width, percent):
     assert stay == {i for i, (_, root) in want.items() if i == root}
 
 
+def test_groups_too_many_to_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(J, "BROADCAST_ROWS", 0)
+    rows = corpus(7)[:60]
+    found = J.similar_classes(spark.createDataFrame(rows, "doc_id long, text string"), 4, 85).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in found} == brute.classes(rows, 4, 85)
+
+
 def test_null_ids_and_no_rows(spark):
     docs = spark.createDataFrame([(None, "a b c d e"), (1, "a b c d e"), (None, None)], "doc_id long, text string")
     assert sorted((r.doc_id or 0, r.component_id or 0) for r in J.similar_classes(docs).collect()) == [(0, 0), (0, 0), (1, 1)]
