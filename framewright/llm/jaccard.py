@@ -23,9 +23,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from framewright.llm.common import arrow_map, saved, sliced, texts_of
+from framewright.llm.common import arrow_map, saved, sliced
 from framewright.llm.components import components
-from framewright.llm.shingles import frequent, shingle_set
+from framewright.llm.shingles import frequent, shingle_sets
 
 #: Children of a tree node.
 FAN = 16
@@ -138,8 +138,7 @@ def shingled(documents: DataFrame, width: int, percent: int) -> DataFrame:
 
     def run(batch: pa.RecordBatch) -> dict:
         n, s1, s2, keys, bits = [], [], [], [], []
-        for text in texts_of(batch):
-            found = shingle_set(text, width)
+        for found in shingle_sets(batch.column(1), width):
             n.append(len(found))
             digest = xxhash.xxh3_128_digest(found.tobytes())
             s1.append(int.from_bytes(digest[:8], "little", signed=True))
@@ -270,7 +269,7 @@ def similar_classes(documents: DataFrame, width: int = 5, percent: int = 80) ->
         wanted = F.broadcast(wanted)
 
     def sets(batch: pa.RecordBatch) -> dict:
-        found = [shingle_set(x, width) for x in texts_of(batch)]
+        found = shingle_sets(batch.column(3), width)
         return {"root": batch.column(0), "rep": batch.column(1), "m": batch.column(2), "n": [len(x) for x in found], "hashes": [memoryview(x).cast("B") for x in found]}
 
     texts = wanted.join(documents.select(F.col("doc_id").cast("long").alias("rep"), "text").filter("rep IS NOT NULL"), "rep").select("root", "rep", "m", "text")
