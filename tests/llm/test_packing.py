@@ -15,7 +15,6 @@ PARTS = ["a", "b", "aa", " ", "  ", "\n", "\t", "é", "'s", "'", "ab", "1", "23"
 
 def test_ids_are_the_library_s():
     library, draw = Tokenizer.from_file(PATH), random.Random(1)
-    library.encode_special_tokens = True
     own = K.encoder(PATH)
     for _ in range(3000):
         text = "".join(draw.choices(PARTS, k=draw.randint(0, 25)))
