@@ -132,17 +132,28 @@ def linked(sizes: np.ndarray, maps: list[bytes], percent: int, check: Callable[[
     return labels
 
 
+def _digests(sets: list[np.ndarray]) -> dict:
+    """n, s1, s2: size and 128-bit digest of each set."""
+    found = [xxhash.xxh3_128_digest(x.tobytes()) for x in sets]
+    return {"n": [len(x) for x in sets]} | {name: [int.from_bytes(x[at : at + 8], "little", signed=True) for x in found] for name, at in (("s1", 0), ("s2", 8))}
+
+
+def digested(documents: DataFrame, width: int) -> DataFrame:
+    """(doc_id, n, s1, s2): size and 128-bit digest of each row's shingle set."""
+
+    def run(batch: pa.RecordBatch) -> dict:
+        return {"doc_id": batch.column(0)} | _digests(shingle_sets(batch.column(1), width))
+
+    return arrow_map(documents.select(F.col("doc_id").cast("long"), "text"), run, "doc_id long, n int, s1 long, s2 long")
+
+
 def shingled(documents: DataFrame, width: int, percent: int) -> DataFrame:
-    """(doc_id, n, s1, s2, keys, bits): size and 128-bit digest of each row's shingle set, its first shingles by rarity, and its bitmap."""
+    """digested, and the set's first shingles by rarity (keys) and its bitmap (bits)."""
     common = frequent(documents, width)
 
     def run(batch: pa.RecordBatch) -> dict:
-        n, s1, s2, keys, bits = [], [], [], [], []
-        for found in shingle_sets(batch.column(1), width):
-            n.append(len(found))
-            digest = xxhash.xxh3_128_digest(found.tobytes())
-            s1.append(int.from_bytes(digest[:8], "little", signed=True))
-            s2.append(int.from_bytes(digest[8:], "little", signed=True))
+        sets, keys = shingle_sets(batch.column(1), width), []
+        for found in sets:
             first = len(found) - -(-percent * len(found) // 100) + 1 if len(found) else 0
             if len(common) and len(found):
                 often = common[np.minimum(np.searchsorted(common, found), len(common) - 1)] == found
@@ -150,10 +161,9 @@ def shingled(documents: DataFrame, width: int, percent: int) -> DataFrame:
             else:
                 ordered = found[:first]
             keys.append(ordered.view(np.int64))
-            bits.append(bitmap(found))
         at = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32)
         lists = pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(keys), pa.int64()))
-        return {"doc_id": batch.column(0), "n": n, "s1": s1, "s2": s2, "keys": lists, "bits": bits}
+        return {"doc_id": batch.column(0), "keys": lists, "bits": [bitmap(x) for x in sets]} | _digests(sets)
 
     return arrow_map(documents.select(F.col("doc_id").cast("long"), "text"), run, "doc_id long, n int, s1 long, s2 long, keys array<long>, bits binary")
 
@@ -243,6 +253,18 @@ def verified(groups: DataFrame, percent: int) -> DataFrame:
     return groups.select("root", "a", "b", "n", "rep", "hashes").repartition("root", "a", "b").sortWithinPartitions("root", "a", "b", "n", "rep").mapInArrow(run, "u long, v long")
 
 
+def distinct_blocks(entries: DataFrame) -> DataFrame:
+    """(key, rep, m) of the blocks of entries (rep, key) that have m > 1 members; of blocks with the same members, by two hashes over them, one.
+
+    Similar sets share many shingles, so their blocks would bring the same bitmaps together again and again.
+    """
+    live = entries.groupBy("key").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
+    blocks = saved(entries.join(live, "key").select("key", "rep", "m"), "blocks")
+    members = blocks.groupBy("key").agg(F.first("m").alias("m"), F.bit_xor(F.xxhash64("rep")).alias("f1"), F.bit_xor(F.xxhash64("rep", F.lit("again"))).alias("f2"))
+    kept = members.groupBy("m", "f1", "f2").agg(F.min("key").alias("key")).select("key")
+    return blocks.join(kept, "key")
+
+
 def similar_classes(documents: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row of documents (doc_id, text).
 
@@ -252,14 +274,11 @@ def similar_classes(documents: DataFrame, width: int = 5, percent: int = 80) ->
     included. Rows of one id count as one document. A null id keeps its row with a null component and
     links nothing. Other columns don't matter; an empty table gives no rows.
     """
-    rows = saved(shingled(documents, width, percent), "shingled")
-    used = rows.filter("n > 0 AND doc_id IS NOT NULL")
+    rows = saved(digested(documents, width), "digested")
+    used = shingled(documents, width, percent).filter("n > 0 AND doc_id IS NOT NULL")
     digest = ["n", "s1", "s2"]
     classes = saved(used.groupBy(*digest).agg(F.min("doc_id").alias("rep"), F.first("keys").alias("keys"), F.first("bits").alias("bits")), "classes")
-
-    entries = classes.select("rep", F.explode("keys").alias("key"))
-    live = entries.groupBy("key").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
-    blocks = entries.join(live, "key").join(classes.select("rep", "n", "bits"), "rep")
+    blocks = distinct_blocks(classes.select("rep", F.explode("keys").alias("key"))).join(classes.select("rep", "n", "bits"), "rep")
     edges = plausible(dealt(blocks, "key", "rep"), percent)
     near = saved(components(edges), "near")
 
