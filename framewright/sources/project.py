@@ -17,6 +17,13 @@ def _required(data: Mapping[str, Any], names: set[str], what: str) -> None:
         raise ValueError(f"{what} lacks required keys: {', '.join(missing)}")
 
 
+def _known(data: Mapping[str, Any], names: set[str], what: str) -> None:
+    """A misspelt key must not silently leave a default in force."""
+    unknown = sorted(set(map(str, data)) - names)
+    if unknown:
+        raise ValueError(f"{what} has unknown keys: {', '.join(unknown)}")
+
+
 def _texts(data: Mapping | None) -> dict[str, str]:
     return {str(k): str(v) for k, v in (data or {}).items()}
 
@@ -68,6 +75,8 @@ class Pipeline:
 @dataclass
 class Project:
     pipelines: list[Pipeline]
+    name: str = ""
+    description: str | None = None
     python_executable: str = "python"
     accelerate_command: str = "accelerate"
     accelerate_config: Path | None = None
@@ -113,19 +122,29 @@ def parse_overrides(values: list[str]) -> list[tuple[str, str]]:
 
 
 def load_project(path: str | Path) -> Project:
-    """Read and check a project file; relative paths stand below its folder."""
+    """Read and check a project file; relative paths stand below its folder. A project without a name has the file's."""
     where = Path(path).expanduser().resolve()
     data = yaml.safe_load(where.read_text(encoding="utf-8")) or {}
+    about, execution = data.get("project") or {}, data.get("execution") or {}
+    accelerate = execution.get("accelerate") or {}
+    _known(about, {"name", "description"}, "project")
+    _known(execution, {"python", "accelerate"}, "execution")
+    _known(accelerate, {"command", "config", "args"}, "execution.accelerate")
     pipelines = [Pipeline.load(p, where.parent) for p in data.get("pipelines") or []]
     if not pipelines:
         raise ValueError("a project needs at least one pipeline")
-    execution = data.get("execution") or {}
-    accelerate = execution.get("accelerate") or {}
-    config = accelerate.get("config_file")
+    description, config = about.get("description"), accelerate.get("config")
     return Project(
-        pipelines, str(execution.get("python_executable", "python")), str(accelerate.get("command", "accelerate")), resolved(str(config), where.parent) if config else None,
-        [str(x) for x in accelerate.get("args") or []], _texts(data.get("environment")), _texts(data.get("context")),
-    )
+        pipelines,
+        name=str(about.get("name", where.stem)),
+        description=None if description is None else str(description),
+        python_executable=str(execution.get("python", "python")),
+        accelerate_command=str(accelerate.get("command", "accelerate")),
+        accelerate_config=resolved(str(config), where.parent) if config else None,
+        accelerate_args=[str(x) for x in accelerate.get("args") or []],
+        environment=_texts(data.get("environment")),
+        context=_texts(data.get("context")),
+    )
 
 
 TASKS = (

@@ -89,7 +89,8 @@ def test_parameter_reports(spark):
 
 
 PROJECT = """
-execution: {python_executable: py, accelerate: {command: acc, config_file: acc.yaml, args: ["--x={tag}"]}}
+project: {name: demo, description: two lines}
+execution: {python: py, accelerate: {command: acc, config: acc.yaml, args: ["--x={tag}"]}}
 environment: {ROOT: "{base}/r"}
 context: {base: /data, tag: t, nested: "{base}/n"}
 pipelines:
@@ -124,6 +125,21 @@ def test_commands_and_environment(project_file, tmp_path):
     assert runner.changes(plain) == {"ROOT": "/data/r", "A": "vision"}
 
 
+def test_project_keys(project_file, tmp_path):
+    project = load_project(project_file)
+    assert (project.name, project.description, project.python_executable) == ("demo", "two lines", "py")
+    assert project.accelerate_config == (tmp_path / "acc.yaml").resolve()
+    one = "pipelines: [{name: a, type: b, repo_path: c}]"
+    for text, what in (("execution: {python_executable: x}", "python_executable"), ("execution: {accelerate: {config_file: x}}", "config_file"), ("project: {title: x}", "title")):
+        path = tmp_path / "unknown.yaml"
+        path.write_text(f"{text}\n{one}")
+        with pytest.raises(ValueError, match=what):
+            load_project(path)
+    path = tmp_path / "nameless.yaml"
+    path.write_text(f"execution: {{accelerate: {{config: null}}}}\n{one}")
+    assert load_project(path).name == "nameless" and load_project(path).accelerate_config is None and load_project(path).python_executable == "python"
+
+
 def test_overrides_and_selection(project_file, spark):
     project = load_project(project_file)
     project.override(parse_overrides([" tag = a=b", "pipeline:one.out=/o", "tag=later"]))
