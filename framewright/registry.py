@@ -91,14 +91,18 @@ def det_rows(s: SparkSession, d: str) -> DataFrame:
     return detection.rows_from_rows(T.detection_rows(s, d), T.THRESHOLD, T.MOST).select("frame", "rank", "ordinal", *_r("score"), F.col("label").alias("category_id"), "category_name")
 
 
+def _corners() -> list:
+    return [F.col("bbox_xyxy")[k].cast("double").alias(name) for k, name in enumerate(("x1", "y1", "x2", "y2"))]
+
+
 def det_postprocess(s: SparkSession, d: str) -> DataFrame:
-    return detection.rows(detection.detections(T.detector_output(s, d), T.THRESHOLD, T.MOST)).select("frame", "ordinal", F.col("bbox_xyxy")[2].cast("double").alias("x2"), *_r("score"), "category_id", "category_name")
+    return detection.rows(detection.detections(T.detector_output(s, d), T.THRESHOLD, T.MOST)).select("frame", "ordinal", *_corners(), *_r("score"), "category_id", "category_name")
 
 
 def det_documents(s: SparkSession, d: str) -> DataFrame:
-    """Scores as 0, so that engines write the same digits."""
+    """Scores to six digits, so that engines write the same."""
     found = detection.detections(T.detector_output(s, d), T.THRESHOLD, T.MOST)
-    plain = found.withColumn("records", F.transform("records", lambda x: x.withField("score", F.lit(0.0)).withField("bbox_xyxy", F.lit(None).cast("array<float>"))))
+    plain = found.withColumn("records", F.transform("records", lambda x: x.withField("score", F.round(x["score"], 6))))
     return detection.documents(plain)
 
 
@@ -279,9 +283,9 @@ def oracle_sql() -> dict[str, str]:
         "det_rows": f"""WITH d AS (SELECT user_id AS frame, event_id AS ordinal, least(value / 500, 1.0) AS score, event_id % 92 AS label FROM events),
             k AS (SELECT *, row_number() OVER (PARTITION BY frame ORDER BY score DESC, ordinal) AS rank FROM d WHERE score >= 0.1::DOUBLE)
             SELECT frame, rank::INT AS rank, ordinal, round(score, 6) AS score, label AS category_id, {_COCO.format('label')} AS category_name FROM k WHERE rank <= 10""",
-        "det_postprocess": f"WITH {_DET} SELECT frame, place::INT AS ordinal, ((ordinal + 20) % 100)::DOUBLE AS x2, round(s::DOUBLE, 6) AS score, label AS category_id, {_COCO.format('label')} AS category_name FROM k WHERE rank <= 10",
+        "det_postprocess": f"WITH {_DET} SELECT frame, place::INT AS ordinal, (ordinal % 100)::DOUBLE AS x1, ((ordinal + 1) % 100)::DOUBLE AS y1, ((ordinal + 20) % 100)::DOUBLE AS x2, ((ordinal + 30) % 100)::DOUBLE AS y2, round(s::DOUBLE, 6) AS score, label AS category_id, {_COCO.format('label')} AS category_name FROM k WHERE rank <= 10",
         "det_documents": f"""WITH {_DET}, n AS (SELECT *, count(*) OVER (PARTITION BY frame) AS n FROM k),
-            j AS (SELECT frame, '[' || string_agg('{{"score":0.0,"category_id":' || label || ',"category_name":"' || {_COCO.format('label')} || '"}}', ',' ORDER BY CASE WHEN n > 10 THEN rank ELSE place END) || ']' AS json FROM n WHERE rank <= 10 GROUP BY frame)
+            j AS (SELECT frame, '[' || string_agg('{{"bbox_xyxy":[' || (ordinal % 100)::DOUBLE || ',' || ((ordinal + 1) % 100)::DOUBLE || ',' || ((ordinal + 20) % 100)::DOUBLE || ',' || ((ordinal + 30) % 100)::DOUBLE || '],"score":' || round(s::DOUBLE, 6) || ',"category_id":' || label || ',"category_name":"' || {_COCO.format('label')} || '"}}', ',' ORDER BY CASE WHEN n > 10 THEN rank ELSE place END) || ']' AS json FROM n WHERE rank <= 10 GROUP BY frame)
             SELECT f.frame, coalesce(json, '[]') AS json FROM (SELECT DISTINCT frame FROM d) f LEFT JOIN j ON f.frame = j.frame""",
         "det_label_range": f"WITH {_DET} SELECT frame, min(label) AS min_label, max(label) AS max_label FROM d GROUP BY frame",
         "diag_top_classes": f"""WITH {_Q}, x AS (SELECT frame, query, (i - 1)::INT AS class, p[i] AS prob FROM p, range(1, 65) r(i) WHERE query < 10),
