@@ -2,7 +2,8 @@
 
 1. Each distinct shingle set becomes one class (copies need no further work).
 2. Any two sets of Jaccard similarity at least t share one of their first n - ceil(t n) + 1 shingles
-   in a global order, here by rarity and then hash. Classes meet in a block for each such shingle.
+   in a global order, here by rarity and then hash. Classes meet in a block for each such shingle; of blocks
+   with the same members one is kept.
 3. In a block, a signature tree over the classes' token bitmaps and sizes is walked against itself;
    node pairs that can't reach the overlap are pruned. What is left is a candidate; candidates are
    reduced to a spanning forest at once, and their components are small groups of plausible links.
