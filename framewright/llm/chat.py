@@ -1,7 +1,8 @@
 """Multi-party perspective rotation: every conversation rendered once for each of its participants.
 
 Only DataFrame functions run here. A conversation may hold any number of messages: it is rendered in
-parts of PART messages, whose character offsets run on, so no task gathers a whole conversation.
+parts of PART messages, whose character offsets run on, so no row gathers a whole conversation. Its messages do
+pass through one task's sort, which spills, to be numbered and to add up their offsets.
 """
 
 from __future__ import annotations

@@ -12,7 +12,8 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of the edges (u, v): root is the least node of its component.
 
     Each round hangs every node's larger neighbours, then its smaller ones, on its least neighbour, as
-    equi-joins with pre-aggregated minima; no node's neighbours are ever gathered. It ends when a round
+    equi-joins with pre-aggregated minima; a node's neighbours stream past its minimum and are never held
+    (of one with very many, Spark's skew join deals them over several tasks). It ends when a round
     changes nothing; the number of rounds grows with the logarithm of the number of nodes. Every round's edges are
     written to the shared folder.
     """
