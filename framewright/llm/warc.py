@@ -148,9 +148,13 @@ def crawl_records(pages: DataFrame) -> DataFrame:
 
 def resolve(records: DataFrame) -> DataFrame:
     """Fill each revisit's payload_bytes from the response that it refers to; a response that is missing leaves null."""
-    wanted = records.filter("record_type = 'revisit'").groupBy("refers_to").agg(F.count(F.lit(1)).alias("n")).select(F.col("refers_to").alias("page_id"))
-    sizes = records.filter("record_type = 'response'").join(wanted, "page_id", "left_semi").groupBy(F.col("page_id").alias("refers_to")).agg(F.max("payload_bytes").alias("full"))
-    return records.join(sizes, "refers_to", "left").withColumn("payload_bytes", F.coalesce("payload_bytes", "full")).drop("full")
+    revisit = F.col("record_type").eqNullSafe("revisit")
+    revisits, others = records.filter(revisit), records.filter(~revisit)
+    wanted = revisits.select(F.col("refers_to").alias("page_id")).distinct()
+    sizes = others.join(wanted, "page_id", "left_semi").groupBy(F.col("page_id").alias("refers_to")).agg(F.max("payload_bytes").alias("full"))
+    # responses refer to nothing: in the join their nulls would all meet in one task
+    filled = revisits.join(sizes, "refers_to", "left").withColumn("payload_bytes", F.coalesce("payload_bytes", "full")).select(records.columns)
+    return others.unionByName(filled)
 
 
 def deduplicate(pages: DataFrame) -> DataFrame:
