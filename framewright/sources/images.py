@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framewright.functions.tensors import normalised, scaled
 
+#: Pixels of a frame that go out together.
+PIXELS = 1 << 16
 # The suffixes that a folder is searched for.
 SUFFIXES = ("jpg", "jpeg", "png", "bmp", "tif", "tiff")
 
@@ -57,21 +63,21 @@ def frames(spark: SparkSession, path: str) -> DataFrame:
 
 
 def pixels(images: DataFrame) -> DataFrame:
-    """(frame, y, x, r, g, b): grey images repeat their value, alpha is dropped."""
-    hexed = F.hex("data")
-    place = images.withColumn("_h", hexed).select("*", F.explode(F.sequence(F.lit(0), F.col("height") * F.col("width") - 1)).alias("pos"))
-
-    def byte(k: Column) -> Column:
-        at = (F.col("pos") * F.col("channels") + k) * 2 + 1
-        return F.conv(F.substring(F.col("_h"), at, F.lit(2)), 16, 10).cast("int")
-
-    colour = F.col("channels") >= 3
-    return place.select(
-        "frame",
-        F.expr("pos div width").cast("int").alias("y"),
-        (F.col("pos") % F.col("width")).alias("x"),
-        *(F.when(colour, byte(F.lit(k))).otherwise(byte(F.lit(0))).alias(n) for n, k in (("r", 2), ("g", 1), ("b", 0))),
-    )
+    """(frame, y, x, r, g, b): grey images repeat their value, alpha is dropped. Decoded bytes are read in place, PIXELS at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                frame, height, width, channels, data = (batch.column(i)[k] for i in range(5))
+                width, channels = width.as_py(), channels.as_py()
+                samples = np.frombuffer(data.as_buffer(), np.uint8)[: height.as_py() * width * channels].reshape(-1, channels).astype(np.int32)
+                for at in range(0, len(samples), PIXELS):
+                    part = samples[at : at + PIXELS]
+                    place = np.arange(at, at + len(part), dtype=np.int32)
+                    colours = (part[:, c if channels >= 3 else 0] for c in (2, 1, 0))
+                    yield pa.RecordBatch.from_arrays([pa.repeat(frame, len(part)), *map(pa.array, (place // width, place % width, *colours))], ["frame", "y", "x", "r", "g", "b"])
+
+    return images.select("frame", "height", "width", "channels", "data").mapInArrow(run, "frame string, y int, x int, r int, g int, b int")
 
 
 def detector_input(rgb: DataFrame) -> DataFrame:

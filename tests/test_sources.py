@@ -56,6 +56,18 @@ def test_pixels_are_rgb(spark, folder):
     assert images.detector_input(rgb).agg(F.max("r")).first()[0] == 1.0
 
 
+def test_pixels_of_large_frames(spark):
+    size = 300
+    data = bytes((7 * k) % 256 for k in range(size * size * 4))
+    rows = [("a", size, size, 4, data), ("b", 1, 2, 1, b"\x05\x06")]
+    rgb = images.pixels(spark.createDataFrame(rows, "frame string, height int, width int, channels int, data binary"))
+    found = {(r.frame, r.y, r.x): (r.r, r.g, r.b) for r in rgb.collect()}
+    assert len(found) == size * size + 2 and found["b", 0, 1] == (6, 6, 6)
+    for y, x in ((0, 0), (299, 299), (218, 136), (218, 135)):
+        at = (y * size + x) * 4
+        assert found["a", y, x] == (data[at + 2], data[at + 1], data[at])
+
+
 def test_stem_and_suffix(spark):
     df = spark.createDataFrame([("/a/b.tar.gz",), ("/a.d/plain",), ("/a/.hidden",)], "p string")
     assert [tuple(r) for r in df.select(images.stem(F.col("p")), images.suffix(F.col("p"))).collect()] == [("b.tar", ".gz"), ("plain", ""), (".hidden", "")]
