@@ -95,6 +95,15 @@ def grey(pixels: np.ndarray) -> np.ndarray:
     return pixels if pixels.ndim == 2 else pixels @ np.array([0.299, 0.587, 0.114])
 
 
+def light(data: bytes) -> np.ndarray:
+    """The file's grey values from 0 (dark) to 255, scaled by the largest sample that its header names; in bitmaps 1 is black."""
+    image = grey(decode(data))
+    if data[:2] in (b"P1", b"P4"):
+        return 255 * (1 - image.astype(np.int16))
+    top = 255 if data[:2] == b"BM" else _header(data, 3, 2)[0][2]
+    return image if top == 255 else image * (255 / top)
+
+
 def area_resize(samples: np.ndarray, height: int, width: int) -> np.ndarray:
     """Mean of each target cell's area, fractions of samples included.
 
@@ -132,7 +141,7 @@ def npy_tile(samples: np.ndarray, side: int = 16) -> bytes:
 def tiles(df: DataFrame, id_col: str, media_col: str, side: int = 16) -> DataFrame:
     """(id, height, width, tile, hash, error) of a column of image files.
 
-    A null, empty or broken file keeps its row, with the reason in `error` and the other columns null.
+    Samples of any depth are scaled to 8 bits. A null, empty or broken file (BMP of 1, 4 or 16 bits counts as such) keeps its row, with the reason in `error` and the other columns null.
     Repeated rows stay; other columns are left out.
     """
 
@@ -142,7 +151,7 @@ def tiles(df: DataFrame, id_col: str, media_col: str, side: int = 16) -> DataFra
             row: tuple = (None, None, None, None, "no file")
             if data:
                 try:
-                    image = grey(decode(data))
+                    image = light(data)
                     row = (*image.shape, npy_tile(image, side), difference_hash(image), None)
                 except (ValueError, IndexError, ZeroDivisionError, struct.error) as e:
                     row = (None, None, None, None, str(e) or type(e).__name__)

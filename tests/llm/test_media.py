@@ -47,6 +47,18 @@ def test_tiles_and_errors(spark):
     assert found[2].error == "no file" and found[3].tile is None and found[3].error and found[4].hash == "0" * 16
 
 
+def test_samples_of_any_depth_are_scaled():
+    def tile(data):
+        return np.load(io.BytesIO(M.npy_tile(M.light(data), 2))).tolist()
+
+    half = 32768
+    assert tile(b"P5 2 2 65535\n" + np.array([0, half, half, 65535], ">u2").tobytes()) == [[0, 128], [128, 255]]
+    assert tile(b"P2 2 2 15\n0 5 10 15") == [[0, 85], [170, 255]]
+    assert tile(b"P1 2 2\n1 0 0 1") == tile(b"P4 2 2\n" + bytes([0b10000000, 0b01000000])) == [[0, 255], [255, 0]]
+    assert tile(b"P5 2 2 255\n" + bytes([0, 7, 200, 255])) == [[0, 7], [200, 255]]
+    assert tile(M.encode_bmp(np.full((2, 2, 3), 9, np.uint8))) == [[9, 9], [9, 9]]
+
+
 def test_query_rows(spark):
     texts = {1: "é" * 40, 2: "", 3: None, 4: "x" * 200_000, 5: "a" * 64}
     docs = spark.createDataFrame([*texts.items(), (1, "é" * 40)], "doc_id long, text string").withColumnRenamed("x", "y")
