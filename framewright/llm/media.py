@@ -10,8 +10,9 @@ import zlib
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from framewright.llm.common import arrow_map, texts_of
+from framewright.llm.common import arrow_map, saved, texts_of
 
 #: Samples in a row of a stored payload.
 ROW = 64
@@ -179,23 +180,24 @@ def stored_media(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def media_digest(df: DataFrame) -> DataFrame:
-    """doc_id, n_bytes and what is read back from each row's stored file: sizes, digests and the feature.
+    """doc_id, n_bytes and what is read back from each row's stored file: sizes, digests, the feature and the tile.
 
-    The feature is the 64-bit difference hash of the decoded samples; tile_sha256 is that of their NPY
-    tile. Equal texts give equal values; null texts count as empty; repeated rows stay.
+    Files are written to the shared folder (`stored_media`) and everything else comes from what is read
+    there. The feature is the 64-bit difference hash of the decoded samples; tile is their NPY file and tile_sha256 its
+    digest. Equal texts give equal values; null texts count as empty; repeated rows stay; an empty table gives no rows.
     """
+    media = saved(stored_media(df.select(F.col("doc_id").cast("long"), "text")), "media")
 
     def run(batch: pa.RecordBatch) -> dict:
-        names = ("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "tile_sha256")
-        out: dict = {"doc_id": batch.column(0), "n_bytes": []} | {n: [] for n in names}
-        for text in texts_of(batch):
-            media = store(text)
-            image = decode(media)
-            back = image.tobytes()
-            out["n_bytes"].append(len(text.encode()))
-            row = (len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(media), hashlib.sha256(media).hexdigest(), difference_hash(image), hashlib.sha256(npy_tile(image)).hexdigest())
+        names = ("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "tile", "tile_sha256")
+        out: dict = {"doc_id": batch.column(0), "n_bytes": batch.column(1)} | {n: [] for n in names}
+        for cell in batch.column(2):
+            data = cell.as_py()
+            image = decode(data)
+            back, tile = image.tobytes(), npy_tile(image)
+            row = (len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-ROW:]), len(data), hashlib.sha256(data).hexdigest(), difference_hash(image), tile, hashlib.sha256(tile).hexdigest())
             for name, value in zip(names, row, strict=True):
                 out[name].append(value)
         return out
 
-    return arrow_map(df.select("doc_id", "text"), run, "doc_id bigint, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string, tile_sha256 string")
+    return arrow_map(media, run, "doc_id bigint, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string, tile binary, tile_sha256 string")

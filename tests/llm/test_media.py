@@ -61,7 +61,7 @@ def test_samples_of_any_depth_are_scaled():
 
 def test_query_rows(spark):
     texts = {1: "é" * 40, 2: "", 3: None, 4: "x" * 200_000, 5: "a" * 64}
-    docs = spark.createDataFrame([*texts.items(), (1, "é" * 40)], "doc_id long, text string").withColumnRenamed("x", "y")
+    docs = spark.createDataFrame([*texts.items(), (1, "é" * 40)], "doc_id long, text string").selectExpr("*", "1 AS media", "2 AS n_bytes", "3 AS tile")
     rows = M.media_digest(docs).collect()
     assert len(rows) == 6
     for r in rows:
@@ -70,4 +70,28 @@ def test_query_rows(spark):
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(data), len(padded), hashlib.sha256(padded).hexdigest(), zlib.crc32(padded[-64:]))
         stored = M.store(texts[r.doc_id] or "")
         assert (r.media_bytes, r.media_sha256) == (len(stored), hashlib.sha256(stored).hexdigest()) and M.decode(stored).tobytes() == padded
+        assert np.load(io.BytesIO(r.tile)).shape == (16, 16) and hashlib.sha256(r.tile).hexdigest() == r.tile_sha256
     assert M.media_digest(docs.limit(0)).count() == 0 and M.stored_media(docs).count() == 6
+
+
+def exact_hash(text: str) -> str:
+    """The feature by its definition: exact means of the 8 x 9 cells, each compared with its right neighbour."""
+    data = text.encode()
+    rows = [list(data[i : i + 64].ljust(64, b"\0")) for i in range(0, max(1, len(data)), 64)]
+
+    def part(k: int, a: Fraction, b: Fraction) -> Fraction:
+        return max(Fraction(0), min(b, Fraction(k + 1)) - max(a, Fraction(k)))
+
+    h, bits = len(rows), ""
+    for i in range(8):
+        across = [sum(part(y, Fraction(i * h, 8), Fraction((i + 1) * h, 8)) * rows[y][x] for y in range(h)) for x in range(64)]
+        cells = [sum(part(x, Fraction(j * 64, 9), Fraction((j + 1) * 64, 9)) * across[x] for x in range(64)) for j in range(9)]
+        bits += "".join("01"[b > a] for a, b in zip(cells, cells[1:]))
+    return f"{int(bits, 2):016x}"
+
+
+def test_feature_is_the_exact_one(spark):
+    draw = np.random.default_rng(5)
+    texts = ["", "a", "abc" * 50, "x" * 64, *("".join(map(chr, draw.integers(32, 500, n))) for n in (7, 63, 64, 65, 700, 3000))]
+    rows = M.media_digest(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {r.doc_id: r.feature for r in rows} == {i: exact_hash(t) for i, t in enumerate(texts)}
