@@ -50,6 +50,11 @@ def at_least(value: Column, limit: float, kind: str = "float") -> Column:
     return ~F.isnan(value) & (value >= F.lit(limit).cast(kind))
 
 
+def shown(value: Column, digits: int) -> Column:
+    """A number as text with so many decimals, rounded half to even, without marks between thousands."""
+    return F.replace(F.format_number(value, digits), F.lit(","), F.lit(""))
+
+
 def scaled(pixel: Column) -> Column:
     """A byte as a float in [0, 1]."""
     return (pixel / 255).cast("float")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from framewright.functions.names import coco_name
-from framewright.functions.tensors import at_least
+from framewright.functions.tensors import at_least, shown
 
 THRESHOLD, MOST = 0.5, 100
 RECORD = "array<struct<ordinal:int,bbox_xyxy:array<float>,score:double,category_id:bigint>>"
@@ -51,7 +51,7 @@ def rows_from_rows(raw: DataFrame, threshold: float = THRESHOLD, most: int = MOS
 
 def named(records: str) -> Column:
     """An array of records as they are written: box, score, id and name."""
-    return F.transform(records, lambda x: F.struct(x["bbox_xyxy"].alias("bbox_xyxy"), x["score"].alias("score"), x["category_id"].alias("category_id"), coco_name(x["category_id"]).alias("category_name")))
+    return F.transform(records, lambda x: F.struct(x["bbox_xyxy"].cast("array<double>").alias("bbox_xyxy"), x["score"].alias("score"), x["category_id"].alias("category_id"), coco_name(x["category_id"]).alias("category_name")))
 
 
 def documents(found: DataFrame) -> DataFrame:
@@ -59,6 +59,11 @@ def documents(found: DataFrame) -> DataFrame:
     return found.select("frame", F.to_json(named("records")).alias("json"))
 
 
+def captions(found: DataFrame) -> DataFrame:
+    """(frame, ordinal, caption) of every record: its class name and its score with two decimals."""
+    return rows(found).select("frame", "ordinal", F.concat("category_name", F.lit(": "), shown(F.col("score"), 2)).alias("caption"))
+
+
 def label_range(raw: DataFrame) -> DataFrame:
     """(frame, min_label, max_label) before any filter; null for frames without boxes."""
     return raw.select("frame", F.array_min("labels").alias("min_label"), F.array_max("labels").alias("max_label"))

@@ -7,8 +7,13 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from framewright.operators import detection, segmentation
+from framewright.sources.images import model_frames
 
-def infer(frames: DataFrame, load: Callable[[], Callable[[pd.DataFrame], pd.DataFrame]], schema: str) -> DataFrame:
+Load = Callable[[], Callable[[pd.DataFrame], pd.DataFrame]]
+
+
+def infer(frames: DataFrame, load: Load, schema: str) -> DataFrame:
     """Apply a model to batches of frames. `load` runs once a task and returns the function; models never run on the driver."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -17,3 +22,18 @@ def infer(frames: DataFrame, load: Callable[[], Callable[[pd.DataFrame], pd.Data
             yield model(batch)
 
     return frames.mapInPandas(run, schema)
+
+
+# The columns that models give for each frame. A null array marks an output that can't be read.
+DETECTOR = "frame string, boxes array<array<float>>, scores array<float>, labels array<bigint>"
+SEGMENTOR = "frame string, height int, width int, logits array<array<float>>, masks array<array<float>>, mask_h int, mask_w int"
+
+
+def detect(images: DataFrame, load: Load, threshold: float = detection.THRESHOLD, most: int = detection.MOST) -> DataFrame:
+    """(frame, n_raw, records) of decoded images by a detector that takes (frame, height, width, input) and gives DETECTOR; see `detections`."""
+    return detection.detections(infer(model_frames(images), load, DETECTOR), threshold, most)
+
+
+def segment(images: DataFrame, load: Load, size: int = 896, least: int = segmentation.LEAST_AREA) -> DataFrame:
+    """(frame, height, width, labels, queries) of decoded images by a segmentor that takes inputs of size x size and gives SEGMENTOR; see `segmentation.segment`."""
+    return segmentation.segment(infer(model_frames(images, size), load, SEGMENTOR), least)

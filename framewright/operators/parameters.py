@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # What marks a key as of a category, and how many of each the report lists.
@@ -72,3 +74,38 @@ def complete(files: DataFrame) -> DataFrame:
     """Adds gib and is_complete to a listing (path, length): files named lvd1689m need 15 GiB."""
     gib = F.col("length") / F.lit(1024.0**3)
     return files.withColumn("gib", gib).withColumn("is_complete", ~(F.col("path").contains("lvd1689m") & (gib < 15)))
+
+
+def verify(spark: SparkSession, path: str, load: Callable[[str], object]) -> DataFrame:
+    """One row (path, found, gib, loads, reason, is_complete) on a checkpoint file: it exists, is large enough and can be loaded.
+
+    `load` takes the path and raises what is wrong; it runs in a task, and not for a file that is missing or too small.
+    """
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = store.exists(where)
+    length = store.getFileStatus(where).getLen() if found else None
+    file = complete(spark.createDataFrame([(path, found, length)], "path string, found boolean, length long"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            reasons = []
+            for row in batch.itertuples():
+                reason = "no such file" if not row.found else None if row.is_complete else "too small"
+                if reason is None:
+                    try:
+                        load(row.path)
+                    except Exception as e:  # whatever a loader raises means that the file can't be loaded
+                        reason = str(e) or type(e).__name__
+                reasons.append(reason)
+            loads = [r is None for r in reasons]
+            yield batch.assign(loads=loads, reason=reasons, is_complete=loads)[["path", "found", "gib", "loads", "reason", "is_complete"]]
+
+    return file.mapInPandas(run, "path string, found boolean, gib double, loads boolean, reason string, is_complete boolean")
+
+
+def report(params: DataFrame, top_level: DataFrame | None = None, kind: str = "unknown") -> dict[str, DataFrame]:
+    """All reports on a checkpoint by name, each a table of bounded length but `modules` and `metadata`."""
+    out = {"listing": listing(params), "modules": modules(params), "categories": categories(params), "heads": heads(params, kind)}
+    out |= {f"{c}_keys": category_keys(params, c) for c in CATEGORIES}
+    return out if top_level is None else out | {"metadata": metadata(top_level)}

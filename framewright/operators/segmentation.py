@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -11,26 +11,33 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from framewright.functions.names import ade20k_name
-from framewright.functions.tensors import argmax, background, bound, foreground, shifted_exp, sigmoid, total
+from framewright.functions.tensors import argmax, background, bound, foreground, shifted_exp, shown, sigmoid, total
 
 LEAST_FOREGROUND, LEAST_AREA, TOP_CLASSES = 0.5, 50, 15
 
 
-def class_heads(queries: DataFrame) -> DataFrame:
-    """Adds class, fg_prob and bg_prob from `logits`, whose last entry is the background. Only sums and maxima are
+def head(logits: Column) -> Column:
+    """(class, fg_prob, bg_prob) of logits whose last entry is the background. Only sums and maxima are
     taken of the exponentials, so no probability array is made."""
-    e = shifted_exp(F.col("logits"))
-    heads = bound(
-        e,
+    return bound(
+        shifted_exp(logits),
         lambda x: bound(total(x), lambda s: F.struct(argmax(foreground(x)).alias("class"), (F.array_max(foreground(x)) / s).alias("fg_prob"), (background(x) / s).alias("bg_prob"))),
     )
-    return queries.withColumn("_h", heads).select("*", "_h.class", "_h.fg_prob", "_h.bg_prob").drop("_h")
+
+
+def is_valid(found: Column) -> Column:
+    """Whether a head's foreground beats the background and 0.5, both strictly; NaN is never valid."""
+    return ~F.isnan(found["fg_prob"]) & (found["fg_prob"] > found["bg_prob"]) & (found["fg_prob"] > LEAST_FOREGROUND)
+
+
+def class_heads(queries: DataFrame) -> DataFrame:
+    """Adds class, fg_prob and bg_prob from `logits`."""
+    return queries.withColumn("_h", head(F.col("logits"))).select("*", "_h.class", "_h.fg_prob", "_h.bg_prob").drop("_h")
 
 
 def valid_queries(queries: DataFrame) -> DataFrame:
-    """Queries whose foreground beats the background and 0.5, both strictly; NaN is never valid."""
-    ok = ~F.isnan("fg_prob") & (F.col("fg_prob") > F.col("bg_prob")) & (F.col("fg_prob") > LEAST_FOREGROUND)
-    return class_heads(queries).filter(ok)
+    """Queries whose head `is_valid`."""
+    return class_heads(queries).filter(is_valid(F.struct("fg_prob", "bg_prob")))
 
 
 def area(mask: Column) -> Column:
@@ -59,7 +66,9 @@ def label_map(kept: DataFrame, frames: DataFrame, digits: int | None = None) ->
 
 
 def resize(mask: np.ndarray, height: int, width: int) -> np.ndarray:
-    """Bilinear, corners not aligned: sample centres map to centres, clamped at the edges; float32."""
+    """Bilinear, corners not aligned: sample centres map to centres, clamped at the edges; float32. A mask of that size stays as it is."""
+    if mask.shape == (height, width):
+        return mask
 
     def axis(n: int, m: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         at = np.maximum((np.arange(m, dtype=np.float32) + 0.5) * np.float32(n / m) - 0.5, 0).astype(np.float32)
@@ -88,25 +97,87 @@ def resized(queries: DataFrame) -> DataFrame:
     return queries.mapInArrow(run, queries.schema)
 
 
-def dense_label_map(kept: DataFrame) -> DataFrame:
-    """(frame, height, width, labels array<int>) of each frame, painted query by query into one array of a frame's size.
+def painted(queries: Iterable[tuple[int, float, np.ndarray]], height: int, width: int, least: int = LEAST_AREA) -> tuple[np.ndarray, list[int]]:
+    """The label map of (class, fg_prob, mask) in query order, and each query's area at full size.
 
-    For full-size frames: a task holds one frame's pixels and its queries, whose number the model fixes.
+    Masks are resized one at a time, so a frame's full-size masks are never held together. Queries under `least` pixels leave no label.
+    """
+    best, labels, areas = np.zeros((height, width)), np.zeros((height, width), np.int32), []
+    for kind, fg, mask in queries:
+        with np.errstate(over="ignore"):
+            share = 1 / (1 + np.exp(-resize(mask, height, width).astype(np.float64)))
+        areas.append(int((share > 0.5).sum()))
+        if areas[-1] >= least:
+            over = share * fg > best
+            best[over], labels[over] = share[over] * fg, kind
+    return labels, areas
+
+
+def dense_label_map(valid: DataFrame, least: int = LEAST_AREA) -> DataFrame:
+    """(frame, height, width, labels array<int>) of each frame with valid queries, in full size (columns height and width).
+
+    One shuffle by frame, of masks in the model's size; a task holds one frame's queries, whose number the model fixes.
+    For outputs that come one row a frame, `segment` needs no shuffle.
     """
 
     def paint(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("query")
-        best = np.zeros(len(frame["mask"].iloc[0]), np.float64)
-        labels = np.zeros(len(best), np.int32)
-        for mask, fg, kind in zip(frame["mask"], frame["fg_prob"], frame["class"], strict=True):
-            with np.errstate(over="ignore"):
-                weight = fg / (1 + np.exp(-np.asarray(mask, np.float64)))
-            over = weight > best
-            best[over], labels[over] = weight[over], kind
-        return pd.DataFrame({"frame": [frame["frame"].iloc[0]], "height": [frame["mask_h"].iloc[0]], "width": [frame["mask_w"].iloc[0]], "labels": [labels]})
+        height, width = int(frame["height"].iloc[0]), int(frame["width"].iloc[0])
+        masks = (np.asarray(m, np.float32).reshape(h, w) for m, h, w in zip(frame["mask"], frame["mask_h"], frame["mask_w"], strict=True))
+        labels, _ = painted(zip(frame["class"], frame["fg_prob"], masks, strict=True), height, width, least)
+        return pd.DataFrame({"frame": [frame["frame"].iloc[0]], "height": [height], "width": [width], "labels": [labels.ravel()]})
+
+    kind = valid.schema["frame"].dataType.simpleString()
+    return valid.select("frame", "query", "class", "fg_prob", "mask", "mask_h", "mask_w", "height", "width").groupBy("frame").applyInPandas(paint, f"frame {kind}, height int, width int, labels array<int>")
+
+
+def rejected(raw: DataFrame) -> DataFrame:
+    """Frames whose output lacks its logits or its masks; they give no label map."""
+    return raw.filter("logits IS NULL OR masks IS NULL").select("frame")
+
+
+def segment(raw: DataFrame, least: int = LEAST_AREA) -> DataFrame:
+    """(frame, height, width, labels array<int>, queries) of a segmentor's rows (frame, height, width, logits, masks, mask_h, mask_w).
+
+    logits and masks hold one array a query. labels is the map in full size, all 0 for frames without a valid query;
+    queries are the valid ones of at least `least` pixels, (query, class, fg_prob, bg_prob, area). One row in and one out: nothing is shuffled.
+    """
+    size = F.least(F.size("logits"), F.size("masks"))
+    numbered = F.when(size > 0, F.arrays_zip(F.sequence(F.lit(0), size - 1).alias("query"), F.slice("logits", 1, size).alias("logits"), F.slice("masks", 1, size).alias("mask"))).otherwise(F.array())
+    headed = F.transform(numbered, lambda q: F.struct(q["query"].alias("query"), head(q["logits"]).alias("h"), q["mask"].alias("mask")))
+    flat = F.transform(F.filter(headed, lambda q: is_valid(q["h"])), lambda q: F.struct(q["query"].alias("query"), q["h"]["class"].alias("class"), q["h"]["fg_prob"].alias("fg_prob"), q["h"]["bg_prob"].alias("bg_prob"), q["mask"].alias("mask")))
+    ready = raw.filter("logits IS NOT NULL AND masks IS NOT NULL").select("frame", "height", "width", "mask_h", "mask_w", flat.alias("valid"))
+    names = ("query", "class", "fg_prob", "bg_prob")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                height, width, mask_h, mask_w = (batch.column(i)[k].as_py() for i in range(1, 5))
+                valid = batch.column(5)[k].values
+                kinds, fgs, masks = (valid.field(n) for n in ("class", "fg_prob", "mask"))
+                inputs = ((kinds[i].as_py(), fgs[i].as_py(), masks[i].values.to_numpy(zero_copy_only=False).reshape(mask_h, mask_w)) for i in range(len(valid)))
+                labels, areas = painted(inputs, height, width, least)
+                kept = [{n: valid.field(n)[i].as_py() for n in names} | {"area": a} for i, a in enumerate(areas) if a >= least]
+                cells = [pa.array([labels.ravel()], pa.list_(pa.int32())), pa.array([kept], _KEPT)]
+                yield pa.RecordBatch.from_arrays([*batch.slice(k, 1).columns[:3], *cells], ["frame", "height", "width", "labels", "queries"])
+
+    kind = raw.schema["frame"].dataType.simpleString()
+    return ready.mapInArrow(run, f"frame {kind}, height int, width int, labels array<int>, queries array<struct<query:int,class:int,fg_prob:double,bg_prob:double,area:bigint>>")
+
+
+_KEPT = pa.list_(pa.struct([("query", pa.int32()), ("class", pa.int32()), ("fg_prob", pa.float64()), ("bg_prob", pa.float64()), ("area", pa.int64())]))
+
+
+def query_report(found: DataFrame) -> DataFrame:
+    """(frame, query, name, prob, area) of `segment`'s queries, each frame's most probable first; prob as text of three decimals."""
+    rows = found.select("frame", F.inline("queries"))
+    return rows.orderBy("frame", F.desc("fg_prob"), "query").select("frame", "query", ade20k_name(F.col("class")).alias("name"), shown(F.col("fg_prob"), 3).alias("prob"), "area")
+
 
-    kind = kept.schema["frame"].dataType.simpleString()
-    return kept.select("frame", "query", "class", "fg_prob", "mask", "mask_h", "mask_w").groupBy("frame").applyInPandas(paint, f"frame {kind}, height int, width int, labels array<int>")
+def map_pixels(dense: DataFrame) -> DataFrame:
+    """(frame, y, x, label) of dense label maps, for the operators on pixels."""
+    rows = dense.select("frame", "width", F.posexplode("labels").alias("pos", "label"))
+    return rows.select("frame", F.expr("pos div width").cast("int").alias("y"), (F.col("pos") % F.col("width")).cast("int").alias("x"), "label")
 
 
 def class_stats(labels: DataFrame) -> DataFrame:
@@ -120,7 +191,7 @@ def top_classes(stats: DataFrame, most: int = TOP_CLASSES) -> DataFrame:
     """Each frame's largest classes but 0, ties by label, with name and caption."""
     rank = F.row_number().over(Window.partitionBy("frame").orderBy(F.desc("n_pixels"), "label"))
     named = stats.filter("label <> 0").withColumn("rank", rank).filter(F.col("rank") <= most).withColumn("name", ade20k_name(F.col("label")))
-    return named.withColumn("caption", F.concat("name", F.lit("\n"), F.format_number("share_pct", 1), F.lit("%")))
+    return named.withColumn("caption", F.concat("name", F.lit("\n"), shown(F.col("share_pct"), 1), F.lit("%")))
 
 
 def coverage(stats: DataFrame) -> DataFrame:

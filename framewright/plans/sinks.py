@@ -3,15 +3,24 @@
 from __future__ import annotations
 
 import json
+import os
 import struct
+import uuid
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from framewright.operators.detection import named
-from framewright.sources.images import path_order, stem
+from framewright.operators.detection import documents, named
+from framewright.operators.rendering import colours
+from framewright.sources.images import path_order, rgb, samples, stem
+
+#: Folders of a label map's table.
+FOLDERS = 256
 
 
 def write_detections(found: DataFrame, path: str) -> None:
@@ -30,20 +39,22 @@ def detection_file(record_json: str) -> str:
     return json.dumps(json.loads(record_json), indent=2, ensure_ascii=False)
 
 
-def write_labels(labels: DataFrame, path: str) -> None:
-    """The label map as Parquet, one folder a frame."""
-    labels.repartition("frame").write.mode("overwrite").partitionBy("frame").parquet(path)
+def write_labels(labels: DataFrame, path: str, folders: int = FOLDERS) -> None:
+    """The label map as Parquet in at most `folders` folders (bucket) by a frame's hash, so that their number doesn't grow with the frames."""
+    held = labels.withColumn("bucket", F.pmod(F.xxhash64("frame"), F.lit(folders)).cast("int"))
+    held.repartition("bucket", "frame").sortWithinPartitions("bucket", "frame").write.mode("overwrite").partitionBy("bucket").parquet(path)
 
 
-def png(labels: np.ndarray) -> bytes:
-    """An 8-bit grey PNG of a label map."""
+def png(samples: np.ndarray) -> bytes:
+    """An 8-bit PNG: grey of a label map (height, width), colours of (height, width, 3)."""
 
     def chunk(kind: bytes, data: bytes) -> bytes:
         return struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
 
-    height, width = labels.shape
-    raster = np.hstack([np.zeros((height, 1), np.uint8), labels.astype(np.uint8)]).tobytes()
-    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", width, height, 8, 0, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(raster)) + chunk(b"IEND", b"")
+    height, width = samples.shape[:2]
+    rows = samples.astype(np.uint8).reshape(height, -1)
+    raster = np.hstack([np.zeros((height, 1), np.uint8), rows]).tobytes()
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", width, height, 8, 0 if samples.ndim == 2 else 2, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(raster)) + chunk(b"IEND", b"")
 
 
 def png_column(dense: DataFrame) -> DataFrame:
@@ -54,7 +65,64 @@ def png_column(dense: DataFrame) -> DataFrame:
             part["content"] = [png(np.asarray(x).reshape(h, w)) for x, h, w in zip(part["labels"], part["height"], part["width"], strict=True)]
             yield part[["frame", "content"]]
 
-    return dense.select("frame", "height", "width", "labels").mapInPandas(run, f"frame {dense.schema['frame'].dataType.simpleString()}, content binary")
+    return dense.select("frame", "height", "width", "labels").mapInPandas(run, f"frame {_kind(dense)}, content binary")
+
+
+def visual_column(dense: DataFrame, images: DataFrame) -> DataFrame:
+    """(frame, mask_only, overlay): PNG bytes of the coloured map, and of half of it over half of the image (`frames`).
+
+    Only frames with a label but 0. One join by frame.
+    """
+    colour = np.zeros((256, 3), np.uint8)
+    colour[1 : len(colours())] = [[int(c * 255) for c in rgb] for _, *rgb in colours()[1:]]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                image = np.stack(rgb(samples(batch, k)), axis=-1)
+                labels = batch.column(1)[k].values.to_numpy(zero_copy_only=False).astype(np.uint8).reshape(image.shape[:2])
+                masked = colour[labels]
+                half = ((image.astype(np.uint16) + masked) // 2).astype(np.uint8)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(k, 1), pa.array([png(masked)]), pa.array([png(half)])], ["frame", "mask_only", "overlay"])
+
+    seen = dense.filter(F.exists("labels", lambda v: v != 0)).select("frame", "labels").join(images, "frame")
+    return seen.select("frame", "labels", "height", "width", "channels", "data").mapInArrow(run, f"frame {_kind(dense)}, mask_only binary, overlay binary")
+
+
+def detection_column(found: DataFrame) -> DataFrame:
+    """(frame, content): each frame's records as its JSON file has them, `[]` for none."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([detection_file(x).encode() for x in batch.column(1).to_pylist()], pa.binary())], ["frame", "content"])
+
+    return documents(found).mapInArrow(run, f"frame {_kind(found)}, content binary")
+
+
+def write_files(contents: DataFrame, folder: str, ending: str) -> None:
+    """One file `{stem}{ending}` for each row (frame, content), written by the tasks; of equal stems the last in path order.
+
+    folder is a path or URI that every executor reaches. A file gets its name once it is whole, so a task that runs again does no harm.
+    """
+    last = contents.join(last_of_stem(contents.select("frame")).select("frame"), "frame", "left_semi")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, root = fs.FileSystem.from_uri(folder if "://" in folder else os.path.abspath(folder))
+        store.create_dir(root, recursive=True)
+        for batch in batches:
+            names = batch.column(0).to_pylist()
+            for name, content in zip(names, batch.column(1), strict=True):
+                part = f"{root}/.{uuid.uuid4().hex}"
+                with store.open_output_stream(part) as out:
+                    out.write(content.as_buffer())
+                store.move(part, f"{root}/{name}{ending}")
+            yield pa.RecordBatch.from_arrays([pa.array([len(names)], pa.int64())], ["n"])
+
+    last.select(stem(F.col("frame")).alias("stem"), "content").mapInArrow(run, "n long").write.format("noop").mode("overwrite").save()
+
+
+def _kind(df: DataFrame) -> str:
+    return df.schema["frame"].dataType.simpleString()
 
 
 def report(df: DataFrame, rows: int = 30) -> None:

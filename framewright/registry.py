@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from framewright import stand_in as T
 from framewright.functions import names
+from framewright.functions.tensors import normalised, scaled
 from framewright.operators import detection, diagnostics, parameters, rendering, segmentation
 from framewright.plans import context, runner
 from framewright.sources import images
@@ -73,7 +74,8 @@ def seg_colours(s: SparkSession, d: str) -> DataFrame:
 
 def seg_blend(s: SparkSession, d: str) -> DataFrame:
     """The coloured map over a grey image of 16 times the row plus twice the column."""
-    image = _map(s, d).select("frame", "y", "x", *((F.col("y") * 16 + F.col("x") * 2).alias(c) for c in "rgb"))
+    grey = T.frames(s, d).select("frame", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("y")).select("frame", "y", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("x"))
+    image = grey.select("frame", "y", "x", *((F.col("y") * 16 + F.col("x") * 2).alias(c) for c in "rgb"))
     return rendering.blended(image, rendering.coloured(_map(s, d), rendering.palette(s)))
 
 
@@ -82,9 +84,9 @@ def seg_counts(s: SparkSession, d: str) -> DataFrame:
 
 
 def seg_dense_label_map(s: SparkSession, d: str) -> DataFrame:
-    """Masks resized to 16 x 16 and painted by frame: the form for full-size frames."""
-    full = segmentation.resized(_valid(s, d).withColumns({"height": F.lit(16), "width": F.lit(16)}))
-    return segmentation.dense_label_map(segmentation.surviving(full, 4 * T.LEAST_AREA))
+    """Masks resized to 16 x 16 and painted by frame: the form for full-size frames. Labels as text."""
+    valid = _valid(s, d).withColumns({"height": F.lit(16), "width": F.lit(16)})
+    return segmentation.dense_label_map(valid, 4 * T.LEAST_AREA).withColumn("labels", F.array_join("labels", ","))
 
 
 def det_rows(s: SparkSession, d: str) -> DataFrame:
@@ -199,8 +201,8 @@ def pixel_inputs(s: SparkSession, d: str) -> DataFrame:
     """Embedding values as bytes of three channels, made ready for both models."""
     byte = F.floor(F.abs(F.col("v").cast("double")) * 255).cast("int")
     rgb = T.read(s, d, "embeddings").select(F.col("vec_id").alias("frame"), F.posexplode("embedding").alias("x", "v")).select("frame", F.lit(0).alias("y"), "x", byte.alias("r"), (255 - byte).alias("g"), F.expr("0").alias("b"))
-    both = images.detector_input(rgb).withColumnsRenamed({c: f"d{c}" for c in "rgb"}).join(images.segmentor_input(rgb), ["frame", "y", "x"])
-    return both.select("frame", "x", *(F.round(F.col(c).cast("double"), 5).alias(c) for c in ("dr", "dg", "db", "r", "g", "b")))
+    ready = {f"d{c}": scaled(F.col(c)) for c in "rgb"} | {c: normalised(F.col(c), k).cast("float") for k, c in enumerate("rgb")}
+    return rgb.select("frame", "x", *(F.round(value.cast("double"), 5).alias(name) for name, value in ready.items()))
 
 
 def class_names(s: SparkSession, d: str) -> DataFrame:
@@ -247,6 +249,15 @@ best AS (SELECT frame, y, x, max(w) AS w, arg_max(class, (w, -query)) AS class F
 map AS (SELECT g.frame, g.y, g.x, coalesce(class, 0) AS label, coalesce(w, 0.0) AS weight FROM grid g LEFT JOIN best b ON g.frame = b.frame AND g.y = b.y AND g.x = b.x),
 stats AS (SELECT frame, label, count(*) AS n_pixels, floor(avg(x))::INT AS cx, floor(avg(y))::INT AS cy, count(*) / sum(count(*)) OVER (PARTITION BY frame) * 100 AS share_pct FROM map GROUP BY frame, label)"""
 )
+# Twice the size: each sample is 3/4 of its nearest mask value and 1/4 of the next one, by both axes; at the edges the same value twice.
+_DENSE = f"""WITH {_Q},
+axis AS (SELECT i, least(greatest((i - 1) // 2, 0), 7) AS low, least(greatest((i - 1) // 2, 0) + 1, 7) AS high, CASE WHEN i = 0 THEN 0.0 WHEN i % 2 = 0 THEN 0.75 ELSE 0.25 END AS f FROM range(16) r(i)),
+full_size AS (SELECT frame, query, class, fg_prob, y.i AS y, x.i AS x,
+    (mask[y.low * 8 + x.low + 1] * (1 - y.f) + mask[y.high * 8 + x.low + 1] * y.f) * (1 - x.f) + (mask[y.low * 8 + x.high + 1] * (1 - y.f) + mask[y.high * 8 + x.high + 1] * y.f) * x.f AS v FROM valid, axis y, axis x),
+large AS (SELECT frame, query FROM full_size GROUP BY ALL HAVING count(*) FILTER (v > 0) >= 120),
+best AS (SELECT frame, y, x, arg_max(class, (fg_prob / (1 + exp(-v)), -query)) AS label FROM full_size SEMI JOIN large USING (frame, query) GROUP BY frame, y, x),
+px AS (SELECT f.frame, y.i AS y, x.i AS x FROM (SELECT DISTINCT frame FROM valid) f, axis y, axis x)
+SELECT px.frame, 16 AS height, 16 AS width, string_agg(coalesce(label, 0)::VARCHAR, ',' ORDER BY px.y, px.x) AS labels FROM px LEFT JOIN best b ON px.frame = b.frame AND px.y = b.y AND px.x = b.x GROUP BY px.frame"""
 _DET = """d AS (SELECT user_id AS frame, event_id AS ordinal, least(value / 500, 1.0) AS score, event_id % 92 AS label FROM events),
 o AS (SELECT *, row_number() OVER (PARTITION BY frame ORDER BY ordinal) - 1 AS place FROM d),
 k AS (SELECT *, score::FLOAT AS s, row_number() OVER (PARTITION BY frame ORDER BY score::FLOAT DESC, ordinal) AS rank FROM o WHERE score::FLOAT >= 0.1::FLOAT)"""
@@ -272,6 +283,7 @@ def oracle_sql() -> dict[str, str]:
         "seg_valid_queries": f"WITH {_Q} SELECT frame, query, class, round(fg_prob, 6) AS fg_prob, round(bg_prob, 6) AS bg_prob FROM valid",
         "seg_surviving": f"WITH {_Q} SELECT frame, query, class, area FROM kept",
         "seg_label_map": f"WITH {_MAP} SELECT frame, y, x, label, round(weight, 6) AS weight FROM map",
+        "seg_dense_label_map": _DENSE,
         "seg_class_stats": f"WITH {_MAP} SELECT frame, label, n_pixels, cx, cy, round(share_pct, 6) AS share_pct FROM stats",
         "seg_top_classes": f"""WITH {_MAP}, t AS (SELECT *, row_number() OVER (PARTITION BY frame ORDER BY n_pixels DESC, label) AS rank FROM stats WHERE label <> 0)
             SELECT frame, rank::INT AS rank, label, {_ADE.format('label')} AS name, n_pixels, {_ADE.format('label')} || chr(10) || printf('%.1f', share_pct) || '%' AS caption FROM t WHERE rank <= 15""",

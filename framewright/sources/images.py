@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -9,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framewright.functions.tensors import normalised, scaled
+from framewright.functions.tensors import DEVIATION, MEAN, normalised, scaled
 
 #: Pixels of a frame that go out together.
 PIXELS = 1 << 16
@@ -62,29 +63,84 @@ def frames(spark: SparkSession, path: str) -> DataFrame:
     return image.select(F.col("image.origin").alias("frame"), "image.height", "image.width", F.col("image.nChannels").alias("channels"), "image.data")
 
 
+def samples(batch: pa.RecordBatch, row: int) -> np.ndarray:
+    """Height x width x channels of an image in a batch of (height, width, channels, data), read in place."""
+    height, width, channels, data = (batch.column(batch.schema.get_field_index(n))[row] for n in ("height", "width", "channels", "data"))
+    shape = (height.as_py(), width.as_py(), channels.as_py())
+    return np.frombuffer(data.as_buffer(), np.uint8)[: math.prod(shape)].reshape(shape)
+
+
+def rgb(image: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Red, green and blue of samples that have blue first; grey repeats its value."""
+    return tuple(image[..., c if image.shape[-1] >= 3 else 0] for c in (2, 1, 0))
+
+
 def pixels(images: DataFrame) -> DataFrame:
     """(frame, y, x, r, g, b): grey images repeat their value, alpha is dropped. Decoded bytes are read in place, PIXELS at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
-                frame, height, width, channels, data = (batch.column(i)[k] for i in range(5))
-                width, channels = width.as_py(), channels.as_py()
-                samples = np.frombuffer(data.as_buffer(), np.uint8)[: height.as_py() * width * channels].reshape(-1, channels).astype(np.int32)
-                for at in range(0, len(samples), PIXELS):
-                    part = samples[at : at + PIXELS]
+                frame, image = batch.column(0)[k], samples(batch, k)
+                width, flat = image.shape[1], image.reshape(-1, image.shape[2])
+                for at in range(0, len(flat), PIXELS):
+                    part = flat[at : at + PIXELS].astype(np.int32)
                     place = np.arange(at, at + len(part), dtype=np.int32)
-                    colours = (part[:, c if channels >= 3 else 0] for c in (2, 1, 0))
-                    yield pa.RecordBatch.from_arrays([pa.repeat(frame, len(part)), *map(pa.array, (place // width, place % width, *colours))], ["frame", "y", "x", "r", "g", "b"])
+                    yield pa.RecordBatch.from_arrays([pa.repeat(frame, len(part)), *map(pa.array, (place // width, place % width, *rgb(part)))], ["frame", "y", "x", "r", "g", "b"])
 
     return images.select("frame", "height", "width", "channels", "data").mapInArrow(run, "frame string, y int, x int, r int, g int, b int")
 
 
-def detector_input(rgb: DataFrame) -> DataFrame:
+def detector_input(pixel: DataFrame) -> DataFrame:
     """Pixels scaled to [0, 1] as float32; neither normalised nor resized."""
-    return rgb.select("frame", "y", "x", *(scaled(F.col(c)).alias(c) for c in "rgb"))
+    return pixel.select("frame", "y", "x", *(scaled(F.col(c)).alias(c) for c in "rgb"))
 
 
-def segmentor_input(rgb: DataFrame) -> DataFrame:
+def segmentor_input(pixel: DataFrame) -> DataFrame:
     """Pixels scaled and normalised by channel."""
-    return rgb.select("frame", "y", "x", *(normalised(F.col(c), k).cast("float").alias(c) for k, c in enumerate("rgb")))
+    return pixel.select("frame", "y", "x", *(normalised(F.col(c), k).cast("float").alias(c) for k, c in enumerate("rgb")))
+
+
+def shrunk(image: np.ndarray, height: int, width: int) -> np.ndarray:
+    """An image (its first two axes) resized with a triangle filter that widens with the reduction, so that nothing aliases.
+
+    Weights at the edges are renormalised; results are rounded once, to bytes.
+    """
+
+    def axis(values: np.ndarray, m: int) -> np.ndarray:
+        n = len(values)
+        scale = n / m
+        reach = max(scale, 1.0)
+        centre = (np.arange(m) + 0.5) * scale
+        place = np.maximum(np.floor(centre - reach + 0.5).astype(np.int64), 0)[:, None] + np.arange(int(2 * reach) + 2)
+        weight = np.maximum(1 - np.abs((place + 0.5 - centre[:, None]) / reach), 0) * (place < n)
+        weight /= weight.sum(axis=1, keepdims=True)
+        out = np.zeros((m, *values.shape[1:]))
+        for k in range(place.shape[1]):
+            out += weight[:, k].reshape(-1, *[1] * (values.ndim - 1)) * values[np.minimum(place[:, k], n - 1)]
+        return out
+
+    rows = axis(image.astype(np.float64), height)
+    return np.clip(np.rint(axis(rows.swapaxes(0, 1), width).swapaxes(0, 1)), 0, 255).astype(np.uint8)
+
+
+def model_frames(images: DataFrame, size: int | None = None) -> DataFrame:
+    """(frame, height, width, input) of decoded images (`frames`): the model's input, channel by channel, row by row.
+
+    Without a size the detector's: samples in [0, 1] at the image's own size. With one the segmentor's: resized to
+    size x size whatever the aspect, scaled and normalised by channel. height and width stay the image's own.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                image = np.stack(rgb(samples(batch, k)), axis=-1)
+                if size is None:
+                    ready = image.astype(np.float32) / np.float32(255)
+                else:
+                    ready = ((shrunk(image, size, size) / 255 - MEAN) / DEVIATION).astype(np.float32)
+                values = pa.array([ready.transpose(2, 0, 1).ravel()], pa.list_(pa.float32()))
+                yield pa.RecordBatch.from_arrays([*batch.slice(k, 1).columns[:3], values], ["frame", "height", "width", "input"])
+
+    kind = images.schema["frame"].dataType.simpleString()
+    return images.select("frame", "height", "width", "channels", "data").mapInArrow(run, f"frame {kind}, height int, width int, input array<float>")

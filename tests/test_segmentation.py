@@ -67,13 +67,14 @@ def test_label_map_boundary_and_dense_form_like_sequential_painting(spark):
     border = {f: np.zeros((h, w), bool) for f, h, w, _ in cases}
     for r in S.boundary(labels).collect():
         out[r.frame][r.y, r.x], border[r.frame][r.y, r.x] = r.label, r.is_boundary
-    dense = {r.frame: np.array(r.labels).reshape(r.height, r.width) for r in S.dense_label_map(kept).collect()}
+    sized = kept.join(frames, "frame")
+    dense = {r.frame: np.array(r.labels).reshape(r.height, r.width) for r in S.dense_label_map(sized, 0).collect()}
     for f, h, w, queries in cases:
         want = paint(queries, h, w)
         assert (out[f] == want).all() and (border[f] == edges(want)).all()
         if queries:
             assert (dense[f] == want).all()
-    content = {r.frame: r.content for r in sinks.png_column(S.dense_label_map(kept)).collect()}
+    content = {r.frame: r.content for r in sinks.png_column(S.dense_label_map(sized, 0)).collect()}
     assert all(c.startswith(b"\x89PNG") for c in content.values())
 
 
