@@ -7,7 +7,7 @@ pass through one task's sort, which spills, to be numbered and to add up their o
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Messages in one rendered row.
@@ -16,6 +16,16 @@ PART = 256
 NARRATORS = ("system",)
 
 
+# How a mark begins and ends, with the backslashes that a text may have in between, and the same with one more.
+_MARKS = ((r"<(\\*)\|", r"<\\$1|"), (r"\|(\\*)>", r"|\\$1>"))
+
+
+def _escaped(text: Column, *marks: tuple[str, str]) -> Column:
+    for mark, safe in marks:
+        text = F.regexp_replace(text, mark, safe)
+    return text
+
+
 def perspectives(messages: DataFrame, narrators: tuple[str, ...] = NARRATORS) -> DataFrame:
     """(conv_id, perspective, seq, speaker, chat_role, segment, start, body_start, end, trained) of every message from every seat.
 
@@ -25,6 +35,9 @@ def perspectives(messages: DataFrame, narrators: tuple[str, ...] = NARRATORS) ->
     offsets in characters in the whole rendering, and trained says whether text and end mark are a
     target: they are for the perspective's own messages.
 
+    No text or speaker can forge a mark: "<|" in either, and "|>" in a speaker, get a backslash in between (`<\\|`, `|\\>`;
+    one more where there are some already, so that the texts can be told back).
+
     Messages stand by turn, ties by speaker and then text; a null turn comes first, a null speaker is
     "unknown", a null text is empty. Repeated rows are messages of their own. A conversation of
     narrators alone has no perspective and so no rows. Other columns don't matter.
@@ -32,8 +45,8 @@ def perspectives(messages: DataFrame, narrators: tuple[str, ...] = NARRATORS) ->
     told = messages.select(
         "conv_id",
         "turn",
-        F.coalesce(F.col("role"), F.lit("unknown")).alias("speaker"),
-        F.coalesce(F.col("text"), F.lit("")).alias("body"),
+        _escaped(F.coalesce(F.col("role"), F.lit("unknown")), *_MARKS).alias("speaker"),
+        _escaped(F.coalesce(F.col("text"), F.lit("")), _MARKS[0]).alias("body"),
     )
     order = Window.partitionBy("conv_id").orderBy(F.asc_nulls_first("turn"), "speaker", "body")
     told = told.withColumn("seq", F.row_number().over(order).cast("long") - 1)

@@ -17,10 +17,14 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {"op10_chat": op10_chat}
 
+# Marks in texts and speakers get a backslash, as the operator has them.
+_BODY = r"regexp_replace(coalesce(text, ''), '<(\\*)\|', '<\\\1|', 'g')"
+_SPEAKER = r"regexp_replace(regexp_replace(coalesce(role, 'unknown'), '<(\\*)\|', '<\\\1|', 'g'), '\|(\\*)>', '|\\\1>', 'g')"
+
 ORACLE_SQL = {
-    "op10_chat": """
-        WITH told AS (SELECT conv_id, coalesce(role, 'unknown') AS speaker, coalesce(text, '') AS body,
-                             row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, 'unknown'), coalesce(text, '')) - 1 AS seq
+    "op10_chat": f"""
+        WITH told AS (SELECT conv_id, {_SPEAKER} AS speaker, {_BODY} AS body,
+                             row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, {_SPEAKER}, {_BODY}) - 1 AS seq
                       FROM conversations),
              seats AS (SELECT DISTINCT conv_id, speaker AS perspective FROM told WHERE speaker <> 'system'),
              seen AS (SELECT t.conv_id, perspective, seq, body, speaker = perspective AS trained,
