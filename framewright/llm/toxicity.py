@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from framewright.llm.common import arrow_map, sliced, texts_of
+from framewright.llm.common import arrow_map, saved, sliced, texts_of
 
 #: The largest number of labelled rows that a model is fitted on; the sample is the rows of least id hash.
 SAMPLE_ROWS = 8000
@@ -79,11 +79,12 @@ class _Finder(dict):
 def _sample(documents: DataFrame, labels: DataFrame, rows: int) -> DataFrame:
     chosen = labels.filter("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     # at most SAMPLE_ROWS rows of two numbers
-    return documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    found = documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    return saved(found.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic")), "sample")
 
 
 def _vocabulary(sample: DataFrame, toxic: int, clean: int) -> list[tuple[str, float]]:
-    """Features that tell toxic from clean texts, at most FEATURES, with their log-odds."""
+    """Features that speak for toxic texts by a likelihood-ratio test, at most FEATURES, with their log-odds. Those that speak for clean ones are left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
@@ -106,7 +107,7 @@ def fit(documents: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Mod
     """A model from labels (doc_id, toxic) of documents (doc_id, text).
 
     Labels without a document, and null labels, don't count; of several labels of one id the largest
-    does. Toxic rows are grade 1 or, from the median of their summed log-odds up, grade 2. With fewer
+    does, and of several documents of one id the least text, so the sample has at most `rows` rows; it is written once. Toxic rows are grade 1 or, from the median of their summed log-odds up, grade 2. With fewer
     than two toxic or two clean rows the model calls every text clean.
     """
     sample = _sample(documents, labels, rows)

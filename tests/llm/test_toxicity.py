@@ -46,6 +46,9 @@ def test_edge_cases(spark):
     model = X.fit(docs, labels)
     assert model.weights == {} and [r.toxic for r in X.score(docs, model).collect()] == [False] * 4
     assert X.score(docs.limit(0), model).count() == 0 and X.fit(docs.limit(0), labels.limit(0)).weights == {}
+    several = spark.createDataFrame([*corpus()[0], *[(0, "zzz", None)] * 50], DOCS)
+    sample = X._sample(several, spark.createDataFrame(corpus()[1], "doc_id long, toxic int"), 40)
+    assert sample.count() == sample.select("doc_id").distinct().count() == 40
     bad = X.Model({"scum": 9.0}, (1.0, 5.0), 0.5)
     assert [r.toxic for r in X.score(docs, bad).collect()] == [False, False, False, True]
 
