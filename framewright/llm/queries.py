@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 #: Modules that have QUERIES, and ORACLE_SQL where SQL can express the query.
-MODULES = ("q01_bpe", "q02_sharding", "q03_toxicity", "q04_fingerprints", "q05_media", "q06_jaccard", "q07_warc", "q08_substrings", "q09_packing", "q10_chat")
+MODULES = ("q01_bpe", "q02_sharding", "q03_toxicity", "q04_fingerprints", "q05_media", "q06_jaccard", "q07_warc", "q08_substrings", "q09_packing", "q10_chat", "q11_topk", "q12_codes", "q13_clusters")
 
 
 def _modules() -> list:
