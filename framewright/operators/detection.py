@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,24 +19,25 @@ def rejected(raw: DataFrame) -> DataFrame:
     return raw.filter("boxes IS NULL OR scores IS NULL OR labels IS NULL").select("frame")
 
 
-def detections(raw: DataFrame, threshold: float = THRESHOLD, most: int = MOST) -> DataFrame:
-    """(frame, n_raw, records): each frame's kept detections as an array, one row in and one out, so nothing is shuffled.
+def detections(raw: DataFrame, threshold: float = THRESHOLD, most: int = MOST, carry: Sequence[Column | str] = ()) -> DataFrame:
+    """(frame, n_raw, records, carry): each frame's kept detections as an array, one row in and one out, so nothing is shuffled.
 
     Arrays of unequal length count as long as the shortest. A score is kept from the threshold on, compared
     as float32; NaN never is. Only if more than `most` are left are they sorted, by falling score, ties
-    by position, and cut; otherwise they keep their order. Frames without boxes have an empty array.
+    by position, and cut; otherwise they keep their order. Frames without boxes have an empty array. Columns
+    of `carry` go along.
     """
     size = F.least(F.size("boxes"), F.size("scores"), F.size("labels"))
     zipped = F.arrays_zip(F.sequence(F.lit(1), size).alias("i"), F.slice("boxes", 1, size).alias("b"), F.slice("scores", 1, size).alias("s"), F.slice("labels", 1, size).alias("l"))
     records = F.when(size > 0, F.transform(zipped, lambda x: F.struct((x["i"] - 1).alias("ordinal"), x["b"].alias("bbox_xyxy"), x["s"].alias("score"), x["l"].cast("bigint").alias("category_id")))).otherwise(F.array())
     kept = raw.filter("boxes IS NOT NULL AND scores IS NOT NULL AND labels IS NOT NULL")
-    kept = kept.select("frame", F.size("scores").cast("long").alias("n_raw"), F.filter(records.cast(RECORD.replace("score:double", "score:float")), lambda x: at_least(x["score"], threshold)).alias("r"))
+    kept = kept.select("frame", F.size("scores").cast("long").alias("n_raw"), F.filter(records.cast(RECORD.replace("score:double", "score:float")), lambda x: at_least(x["score"], threshold)).alias("r"), F.struct(F.lit(0).alias("_"), *carry).alias("c"))
     order = F.array_sort(
         "r",
         lambda x, y: F.when(x["score"] > y["score"], -1).when(x["score"] < y["score"], 1).when(x["ordinal"] < y["ordinal"], -1).otherwise(1),
     )
     cut = F.when(F.size("r") > most, F.slice(order, 1, most)).otherwise(F.col("r"))
-    return kept.select("frame", "n_raw", cut.cast(RECORD).alias("records"))
+    return kept.select("frame", "n_raw", cut.cast(RECORD).alias("records"), "c.*").drop("_")
 
 
 def rows(found: DataFrame) -> DataFrame:

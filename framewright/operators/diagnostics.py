@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from framewright.functions.tensors import sigmoid, softmax, total
+from framewright.operators import segmentation
 from framewright.operators.segmentation import area
 
 FIRST_QUERIES, TOP_CLASSES, TOP_QUERIES = 10, 5, 20
@@ -41,6 +42,15 @@ def top_queries(valid: DataFrame, most: int = TOP_QUERIES) -> DataFrame:
     return ordered(valid).limit(most)
 
 
+def query_counts(queries: DataFrame, least: int) -> DataFrame:
+    """(frame, n_queries, n_valid, n_kept): all queries, the valid ones, and those of at least `least` pixels, in one pass over them."""
+    valid = segmentation.is_valid(F.col("h"))
+    # outer, as the optimiser would test an inner one beforehand with heads of its own
+    heads = queries.select("frame", "mask", F.explode_outer(F.array(segmentation.head(F.col("logits")))).alias("h"))
+    flags = heads.select("frame", valid.alias("valid"), F.when(valid, segmentation.area(F.col("mask"))).alias("area"))
+    return flags.groupBy("frame").agg(F.count(F.lit(1)).alias("n_queries"), F.count_if("valid").alias("n_valid"), F.count_if(F.col("valid") & (F.col("area") >= least)).alias("n_kept"))
+
+
 def counts(queries: DataFrame, valid: DataFrame, kept: DataFrame) -> DataFrame:
     """(frame, n_queries, n_valid, n_kept)."""
     n = lambda df, name: df.groupBy("frame").agg(F.count(F.lit(1)).alias(name))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -36,8 +36,8 @@ def class_heads(queries: DataFrame) -> DataFrame:
 
 
 def valid_queries(queries: DataFrame) -> DataFrame:
-    """Queries whose head `is_valid`."""
-    return class_heads(queries).filter(is_valid(F.struct("fg_prob", "bg_prob")))
+    """Queries whose head `is_valid`, with class, fg_prob and bg_prob. Heads are made within an array and filtered there: a filter on columns would compute them again for each of its conditions."""
+    return queries.select("*", F.inline_outer(F.filter(F.array(head(F.col("logits"))), is_valid))).filter("class IS NOT NULL")
 
 
 def area(mask: Column) -> Column:
@@ -136,17 +136,18 @@ def rejected(raw: DataFrame) -> DataFrame:
     return raw.filter("logits IS NULL OR masks IS NULL").select("frame")
 
 
-def segment(raw: DataFrame, least: int = LEAST_AREA) -> DataFrame:
-    """(frame, height, width, labels array<int>, queries) of a segmentor's rows (frame, height, width, logits, masks, mask_h, mask_w).
+def segment(raw: DataFrame, least: int = LEAST_AREA, carry: Sequence[str] = ()) -> DataFrame:
+    """(frame, height, width, labels array<int>, queries, n_valid, carry) of a segmentor's rows (frame, height, width, logits, masks, mask_h, mask_w).
 
     logits and masks hold one array a query. labels is the map in full size, all 0 for frames without a valid query;
-    queries are the valid ones of at least `least` pixels, (query, class, fg_prob, bg_prob, area). One row in and one out: nothing is shuffled.
+    queries are the valid ones of at least `least` pixels, (query, class, fg_prob, bg_prob, area), n_valid counts those of any size. Columns
+    named in `carry` go along. One row in and one out: nothing is shuffled.
     """
     size = F.least(F.size("logits"), F.size("masks"))
     numbered = F.when(size > 0, F.arrays_zip(F.sequence(F.lit(0), size - 1).alias("query"), F.slice("logits", 1, size).alias("logits"), F.slice("masks", 1, size).alias("mask"))).otherwise(F.array())
     headed = F.transform(numbered, lambda q: F.struct(q["query"].alias("query"), head(q["logits"]).alias("h"), q["mask"].alias("mask")))
     flat = F.transform(F.filter(headed, lambda q: is_valid(q["h"])), lambda q: F.struct(q["query"].alias("query"), q["h"]["class"].alias("class"), q["h"]["fg_prob"].alias("fg_prob"), q["h"]["bg_prob"].alias("bg_prob"), q["mask"].alias("mask")))
-    ready = raw.filter("logits IS NOT NULL AND masks IS NOT NULL").select("frame", "height", "width", "mask_h", "mask_w", flat.alias("valid"))
+    ready = raw.filter("logits IS NOT NULL AND masks IS NOT NULL").select("frame", "height", "width", "mask_h", "mask_w", flat.alias("valid"), *(F.col(c).alias(f"_carried_{i}") for i, c in enumerate(carry)))
     names = ("query", "class", "fg_prob", "bg_prob")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -158,11 +159,12 @@ def segment(raw: DataFrame, least: int = LEAST_AREA) -> DataFrame:
                 inputs = ((kinds[i].as_py(), fgs[i].as_py(), masks[i].values.to_numpy(zero_copy_only=False).reshape(mask_h, mask_w)) for i in range(len(valid)))
                 labels, areas = painted(inputs, height, width, least)
                 kept = [{n: valid.field(n)[i].as_py() for n in names} | {"area": a} for i, a in enumerate(areas) if a >= least]
-                cells = [pa.array([labels.ravel()], pa.list_(pa.int32())), pa.array([kept], _KEPT)]
-                yield pa.RecordBatch.from_arrays([*batch.slice(k, 1).columns[:3], *cells], ["frame", "height", "width", "labels", "queries"])
+                cells = [pa.array([labels.ravel()], pa.list_(pa.int32())), pa.array([kept], _KEPT), pa.array([len(valid)], pa.int32())]
+                row = batch.slice(k, 1).columns
+                yield pa.RecordBatch.from_arrays([*row[:3], *cells, *row[6:]], ["frame", "height", "width", "labels", "queries", "n_valid", *carry])
 
     kind = raw.schema["frame"].dataType.simpleString()
-    return ready.mapInArrow(run, f"frame {kind}, height int, width int, labels array<int>, queries array<struct<query:int,class:int,fg_prob:double,bg_prob:double,area:bigint>>")
+    return ready.mapInArrow(run, f"frame {kind}, height int, width int, labels array<int>, queries array<struct<query:int,class:int,fg_prob:double,bg_prob:double,area:bigint>>, n_valid int" + "".join(f", {c} {raw.schema[c].dataType.simpleString()}" for c in carry))
 
 
 _KEPT = pa.list_(pa.struct([("query", pa.int32()), ("class", pa.int32()), ("fg_prob", pa.float64()), ("bg_prob", pa.float64()), ("area", pa.int64())]))
@@ -182,9 +184,40 @@ def map_pixels(dense: DataFrame) -> DataFrame:
 
 def class_stats(labels: DataFrame) -> DataFrame:
     """(frame, label, n_pixels, share_pct, cx, cy) of every label in a frame; shares are of all pixels, centres are truncated means."""
-    counted = labels.groupBy("frame", "label").agg(F.count(F.lit(1)).alias("n_pixels"), F.floor(F.avg("x")).cast("int").alias("cx"), F.floor(F.avg("y")).cast("int").alias("cy"))
+    return _shared(labels.groupBy("frame", "label").agg(F.count(F.lit(1)).alias("n_pixels"), F.sum("x").alias("sum_x"), F.sum("y").alias("sum_y")))
+
+
+def _shared(counted: DataFrame) -> DataFrame:
+    """Shares and centres from (frame, label, n_pixels, sum_x, sum_y)."""
     whole = F.sum("n_pixels").over(Window.partitionBy("frame"))
-    return counted.withColumn("share_pct", F.col("n_pixels") / whole * 100)
+    centre = lambda c: F.floor(F.col(c) / F.col("n_pixels")).cast("int")
+    return counted.select("frame", "label", "n_pixels", centre("sum_x").alias("cx"), centre("sum_y").alias("cy"), (F.col("n_pixels") / whole * 100).alias("share_pct"))
+
+
+def label_counts(dense: DataFrame) -> DataFrame:
+    """(frame, label, n_pixels, sum_x, sum_y) of dense label maps (frame, height, width, labels): a row for each label of a map, no row a pixel.
+
+    The sums of several parts of a frame add up; a column `top`, if there is one, is the frame's row at which a part begins.
+    """
+    top = F.col("top").cast("int") if "top" in dense.columns else F.lit(0)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                height, width, first = (batch.column(i)[k].as_py() for i in (1, 2, 4))
+                flat = batch.column(3)[k].values.to_numpy(zero_copy_only=False)
+                kinds, place = np.unique(flat, return_inverse=True)
+                rows, columns = np.divmod(np.arange(flat.size), max(width, 1))
+                sums = [np.bincount(place, w, len(kinds)).astype(np.int64) for w in (None, columns, rows + first)]
+                yield pa.RecordBatch.from_arrays([pa.repeat(batch.column(0)[k], len(kinds)), pa.array(kinds.astype(np.int32)), *map(pa.array, sums)], ["frame", "label", "n_pixels", "sum_x", "sum_y"])
+
+    kind = dense.schema["frame"].dataType.simpleString()
+    return dense.select("frame", "height", "width", "labels", top.alias("top")).mapInArrow(run, f"frame {kind}, label int, n_pixels long, sum_x long, sum_y long")
+
+
+def dense_class_stats(dense: DataFrame) -> DataFrame:
+    """`class_stats` of dense label maps, whole or in parts: maps are counted where they are, and a row for each of their labels is shuffled."""
+    return _shared(label_counts(dense).groupBy("frame", "label").agg(*(F.sum(c).alias(c) for c in ("n_pixels", "sum_x", "sum_y"))))
 
 
 def top_classes(stats: DataFrame, most: int = TOP_CLASSES) -> DataFrame:
@@ -206,3 +239,26 @@ def boundary(labels: DataFrame) -> DataFrame:
     row, column = Window.partitionBy("frame", "y").orderBy("x"), Window.partitionBy("frame", "x").orderBy("y")
     same = [F.coalesce(f("label").over(w) == F.col("label"), F.lit(False)) for w in (row, column) for f in (F.lag, F.lead)]
     return labels.select("frame", "y", "x", "label", ((F.col("label") != 0) & ~(same[0] & same[1] & same[2] & same[3])).alias("is_boundary"))
+
+
+def outlines(labels: np.ndarray) -> np.ndarray:
+    """Which pixels of a label map (height, width) are of a class but 0 and have a 4-neighbour that is missing or of another label."""
+    same = np.ones(labels.shape, bool)
+    for axis in (0, 1):
+        step = np.diff(labels, axis=axis) == 0
+        edge = np.zeros_like(np.take(same, [0], axis=axis))
+        same &= np.concatenate([edge, step], axis=axis) & np.concatenate([step, edge], axis=axis)
+    return (labels != 0) & ~same
+
+
+def dense_boundary(dense: DataFrame) -> DataFrame:
+    """Dense label maps (frame, height, width, labels) with is_boundary array<boolean>, row by row like labels; see `boundary`. Neighbours are compared within a frame's row, so nothing is shuffled."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                labels = batch.column(3)[k].values.to_numpy(zero_copy_only=False).reshape(batch.column(1)[k].as_py(), batch.column(2)[k].as_py())
+                yield pa.RecordBatch.from_arrays([*batch.slice(k, 1).columns, pa.array([outlines(labels).ravel()], pa.list_(pa.bool_()))], ["frame", "height", "width", "labels", "is_boundary"])
+
+    kind = dense.schema["frame"].dataType.simpleString()
+    return dense.select("frame", "height", "width", "labels").mapInArrow(run, f"frame {kind}, height int, width int, labels array<int>, is_boundary array<boolean>")

@@ -5,11 +5,14 @@ from __future__ import annotations
 import argparse
 import importlib
 import logging
+from collections.abc import Callable
 
-from pyspark.sql import SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 from framewright.operators import inference, parameters
 from framewright.plans import sinks
+from framewright.plans.files import write_frames
 from framewright.plans.runner import PARTS, check_adapters, output_folders
 from framewright.shipping import ship
 from framewright.sources import images
@@ -32,15 +35,26 @@ def parser() -> argparse.ArgumentParser:
     out.add_argument("--save-visuals", action="store_true", help="coloured maps and overlays beside the label maps")
     out.add_argument("--clear-cache", action="store_true", help="accepted for old commands; nothing is cached")
     out.add_argument("--log-level", default="INFO", choices=["DEBUG", "INFO", "WARNING", "ERROR"])
-    out.add_argument("--models", required=True, metavar="MODULE", help="module with load_detector and load_segmentor (repo, backbone, adapter, device), each giving a batch function, and load_checkpoint (path)")
+    out.add_argument("--gpus", type=int, default=0, help="GPUs of each executor, one for each task; 0 leaves placement to the session")
+    out.add_argument("--models", required=True, metavar="MODULE", help="module with load_detector and load_segmentor (repo, backbone, adapter, device), each giving a batch function, and load_checkpoint (path); load_detector_otherwise and load_segmentor_otherwise, if there, are tried where loading fails")
     return out
 
 
+#: Images that go to a worker, and to the model, together.
+IMAGES = 8
+
+
 def main(arguments: list[str] | None = None, spark: SparkSession | None = None) -> int:
-    """0, or 1 if the backbone isn't whole. Missing images, and a part of the work without its adapter, are errors."""
+    """0, 1 if the backbone isn't whole, or 2 if images or outputs couldn't be read: `_report` beside the files says which and why.
+
+    Missing images, and a part of the work without its adapter, are errors. Each image goes through a model once.
+    """
     p = parser().parse_args(arguments)
     logging.basicConfig(level=p.log_level)
     check_adapters(p.task, p.detection_adapter, p.segmentation_adapter)
+    for name, value, usual in (("--color-map", p.color_map, "Spectral"), ("--clear-cache", p.clear_cache, False)):
+        if value != usual:
+            LOG.warning("%s has no effect", name)
     models = importlib.import_module(p.models)
     spark = spark or SparkSession.builder.getOrCreate()
     ship(spark)
@@ -48,25 +62,39 @@ def main(arguments: list[str] | None = None, spark: SparkSession | None = None)
     if not backbone.is_complete:
         LOG.error("%s: %s", p.backbone, backbone.reason)
         return 1
-    LOG.info("%d images", images.listing(spark, p.input).count())
-    found = images.frames(spark, p.input)
+    listed, found = images.listing(spark, p.input), images.decoded(spark, p.input)
     detected, segmented = output_folders(p.task, p.output)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", IMAGES)
+    profile = inference.placement(p.gpus) if p.gpus else None
+
+    def model(kind: str, adapter: str) -> inference.Model:
+        return inference.Model(getattr(models, f"load_{kind}"), (p.repo, p.backbone, adapter, p.device), getattr(models, f"load_{kind}_otherwise", None))
+
+    rejected = 0
     if detected:
-        records = inference.detect(found, lambda: models.load_detector(p.repo, p.backbone, p.detection_adapter, p.device), p.confidence_threshold, p.max_detections)
-        sinks.write_files(sinks.detection_column(records), detected, "_detections.json")
+        records = inference.detect(found, model("detector", p.detection_adapter), p.confidence_threshold, p.max_detections, ["height", "width", "channels", "data"] if p.save_visuals else [], profile)
+        sums = {"raw": F.sum("n_raw"), "kept": F.sum(F.size("records")), "least label": F.min("min_label"), "largest label": F.max("max_label")}
+        rejected += _written("detection", detected, records, sums, lambda df: sinks.detection_files(df, p.save_visuals), listed)
     if segmented:
-        labels = inference.segment(found, lambda: models.load_segmentor(p.repo, p.backbone, p.segmentation_adapter, p.device), p.image_size)
-        if p.save_visuals:
-            # maps are needed three times, the model runs once
-            labels.write.mode("overwrite").parquet(f"{segmented}/labels.parquet")
-            labels = spark.read.parquet(f"{segmented}/labels.parquet")
-        sinks.write_files(sinks.png_column(labels), segmented, "_segmentation.png")
-        if p.save_visuals:
-            seen = sinks.visual_column(labels, found)
-            for column in ("mask_only", "overlay"):
-                sinks.write_files(seen.selectExpr("frame", f"{column} AS content"), segmented, f"_{column}.png")
+        labels = inference.segment(found, model("segmentor", p.segmentation_adapter), p.image_size, carry=["channels", "data"] if p.save_visuals else [], profile=profile)
+        sums = {"valid queries": F.sum("n_valid"), "kept queries": F.sum(F.size("queries"))}
+        shares = {"labels": F.sum("n_labels"), "mean coverage": F.avg(F.when(F.col("reason").isNull(), F.col("coverage_pct")))}
+        rejected += _written("segmentation", segmented, labels, sums, lambda df: sinks.segmentation_files(df, p.save_visuals), listed, shares)
     LOG.info("done: %s", p.output)
-    return 0
+    return 2 if rejected else 0
+
+
+def _written(kind: str, folder: str, found: DataFrame, sums: dict[str, Column], files: Callable[[DataFrame], DataFrame], listed: DataFrame, later: dict[str, Column] | None = None) -> int:
+    """Write one model's results and log their summary, which is gathered while they are written; the number of frames without a result."""
+    seen, last = Observation(), Observation()
+    count = F.count(F.lit(1)).alias("frames")
+    results = files(found.observe(seen, count, *(v.alias(k) for k, v in sums.items())))
+    results = results.observe(last, count, *(v.alias(k) for k, v in (later or {}).items()))
+    done = write_frames(results, folder, listed)
+    LOG.info("%s: %s, %d files", kind, ", ".join(f"{v} {k}" for k, v in (seen.get | last.get).items()), done.files)
+    if done.rejected:
+        LOG.error("%s: %d frames have no result, see %s/_report", kind, done.rejected, folder)
+    return done.rejected
 
 
 if __name__ == "__main__":

@@ -15,6 +15,7 @@ from framewright.functions import names
 from framewright.functions.tensors import normalised, scaled
 from framewright.operators import detection, diagnostics, parameters, rendering, segmentation
 from framewright.plans import context, runner
+from framewright.plans.ranking import ranked
 from framewright.sources import images
 
 FLAGSHIP = "seg_valid_queries"
@@ -80,13 +81,33 @@ def seg_blend(s: SparkSession, d: str) -> DataFrame:
 
 
 def seg_counts(s: SparkSession, d: str) -> DataFrame:
-    return diagnostics.counts(T.queries(s, d), _valid(s, d), _kept(s, d))
+    return diagnostics.query_counts(T.queries(s, d), T.LEAST_AREA)
 
 
 def seg_dense_label_map(s: SparkSession, d: str) -> DataFrame:
     """Masks resized to 16 x 16 and painted by frame: the form for full-size frames. Labels as text."""
-    valid = _valid(s, d).withColumns({"height": F.lit(16), "width": F.lit(16)})
-    return segmentation.dense_label_map(valid, 4 * T.LEAST_AREA).withColumn("labels", F.array_join("labels", ","))
+    return _dense(s, d).withColumn("labels", F.array_join("labels", ","))
+
+
+def _dense(s: SparkSession, d: str) -> DataFrame:
+    return segmentation.dense_label_map(_valid(s, d).withColumns({"height": F.lit(16), "width": F.lit(16)}), 4 * T.LEAST_AREA)
+
+
+def seg_dense_class_stats(s: SparkSession, d: str) -> DataFrame:
+    return segmentation.dense_class_stats(_dense(s, d)).select("frame", "label", "n_pixels", "cx", "cy", *_r("share_pct"))
+
+
+def seg_dense_top_classes(s: SparkSession, d: str) -> DataFrame:
+    return segmentation.top_classes(segmentation.dense_class_stats(_dense(s, d))).select("frame", "rank", "label", "name", "n_pixels", "caption")
+
+
+def seg_dense_coverage(s: SparkSession, d: str) -> DataFrame:
+    return segmentation.coverage(segmentation.dense_class_stats(_dense(s, d))).select("frame", "n_labels", *_r("coverage_pct"))
+
+
+def seg_dense_boundary(s: SparkSession, d: str) -> DataFrame:
+    """Which pixels of the 16 x 16 maps are boundary, as 0 and 1."""
+    return segmentation.dense_boundary(_dense(s, d)).select("frame", F.array_join(F.transform("is_boundary", lambda b: b.cast("int").cast("string")), ",").alias("is_boundary"))
 
 
 def det_rows(s: SparkSession, d: str) -> DataFrame:
@@ -160,12 +181,9 @@ def param_metadata(s: SparkSession, d: str) -> DataFrame:
 
 
 def file_listing(s: SparkSession, d: str) -> DataFrame:
-    """Files in path order with stem and suffix; the rank is over all of them, so one task orders the listing."""
-    from pyspark.sql import Window
-
+    """Files in path order with stem, suffix and rank over all of them."""
     files = T.listing(s, d).groupBy("path").agg(F.max("length").alias("length"))
-    rank = F.row_number().over(Window.orderBy(images.path_order(F.col("path"))))
-    return files.select("path", rank.alias("rank"), images.stem(F.col("path")).alias("stem"), images.suffix(F.col("path")).alias("suffix"))
+    return ranked(files, images.path_order(F.col("path"))).select("path", F.col("rank").cast("int").alias("rank"), images.stem(F.col("path")).alias("stem"), images.suffix(F.col("path")).alias("suffix"))
 
 
 def file_complete(s: SparkSession, d: str) -> DataFrame:
@@ -212,6 +230,7 @@ def class_names(s: SparkSession, d: str) -> DataFrame:
 
 _QUERIES = (
     seg_valid_queries, seg_surviving, seg_label_map, seg_class_stats, seg_top_classes, seg_coverage, seg_boundary, seg_colours, seg_blend, seg_counts, seg_dense_label_map,
+    seg_dense_class_stats, seg_dense_top_classes, seg_dense_coverage, seg_dense_boundary,
     det_rows, det_postprocess, det_documents, det_label_range, diag_top_classes, diag_mask_stats, diag_top_queries,
     param_listing, param_modules, param_categories, param_output_keys, param_backbone_keys, param_heads_segmentation, param_heads_detection, param_metadata,
     file_listing, file_complete, context_overlay, context_changed, plan_overview, plan_selected, pixel_inputs, class_names,
@@ -250,14 +269,15 @@ map AS (SELECT g.frame, g.y, g.x, coalesce(class, 0) AS label, coalesce(w, 0.0)
 stats AS (SELECT frame, label, count(*) AS n_pixels, floor(avg(x))::INT AS cx, floor(avg(y))::INT AS cy, count(*) / sum(count(*)) OVER (PARTITION BY frame) * 100 AS share_pct FROM map GROUP BY frame, label)"""
 )
 # Twice the size: each sample is 3/4 of its nearest mask value and 1/4 of the next one, by both axes; at the edges the same value twice.
-_DENSE = f"""WITH {_Q},
+_DENSE_MAP = f"""{_Q},
 axis AS (SELECT i, least(greatest((i - 1) // 2, 0), 7) AS low, least(greatest((i - 1) // 2, 0) + 1, 7) AS high, CASE WHEN i = 0 THEN 0.0 WHEN i % 2 = 0 THEN 0.75 ELSE 0.25 END AS f FROM range(16) r(i)),
 full_size AS (SELECT frame, query, class, fg_prob, y.i AS y, x.i AS x,
     (mask[y.low * 8 + x.low + 1] * (1 - y.f) + mask[y.high * 8 + x.low + 1] * y.f) * (1 - x.f) + (mask[y.low * 8 + x.high + 1] * (1 - y.f) + mask[y.high * 8 + x.high + 1] * y.f) * x.f AS v FROM valid, axis y, axis x),
 large AS (SELECT frame, query FROM full_size GROUP BY ALL HAVING count(*) FILTER (v > 0) >= 120),
 best AS (SELECT frame, y, x, arg_max(class, (fg_prob / (1 + exp(-v)), -query)) AS label FROM full_size SEMI JOIN large USING (frame, query) GROUP BY frame, y, x),
-px AS (SELECT f.frame, y.i AS y, x.i AS x FROM (SELECT DISTINCT frame FROM valid) f, axis y, axis x)
-SELECT px.frame, 16 AS height, 16 AS width, string_agg(coalesce(label, 0)::VARCHAR, ',' ORDER BY px.y, px.x) AS labels FROM px LEFT JOIN best b ON px.frame = b.frame AND px.y = b.y AND px.x = b.x GROUP BY px.frame"""
+px AS (SELECT f.frame, y.i AS y, x.i AS x FROM (SELECT DISTINCT frame FROM valid) f, axis y, axis x),
+map AS (SELECT px.frame, px.y, px.x, coalesce(label, 0) AS label FROM px LEFT JOIN best b ON px.frame = b.frame AND px.y = b.y AND px.x = b.x),
+stats AS (SELECT frame, label, count(*) AS n_pixels, floor(avg(x))::INT AS cx, floor(avg(y))::INT AS cy, count(*) / sum(count(*)) OVER (PARTITION BY frame) * 100 AS share_pct FROM map GROUP BY frame, label)"""
 _DET = """d AS (SELECT user_id AS frame, event_id AS ordinal, least(value / 500, 1.0) AS score, event_id % 92 AS label FROM events),
 o AS (SELECT *, row_number() OVER (PARTITION BY frame ORDER BY ordinal) - 1 AS place FROM d),
 k AS (SELECT *, score::FLOAT AS s, row_number() OVER (PARTITION BY frame ORDER BY score::FLOAT DESC, ordinal) AS rank FROM o WHERE score::FLOAT >= 0.1::FLOAT)"""
@@ -283,7 +303,12 @@ def oracle_sql() -> dict[str, str]:
         "seg_valid_queries": f"WITH {_Q} SELECT frame, query, class, round(fg_prob, 6) AS fg_prob, round(bg_prob, 6) AS bg_prob FROM valid",
         "seg_surviving": f"WITH {_Q} SELECT frame, query, class, area FROM kept",
         "seg_label_map": f"WITH {_MAP} SELECT frame, y, x, label, round(weight, 6) AS weight FROM map",
-        "seg_dense_label_map": _DENSE,
+        "seg_dense_label_map": f"WITH {_DENSE_MAP} SELECT frame, 16 AS height, 16 AS width, string_agg(label::VARCHAR, ',' ORDER BY y, x) AS labels FROM map GROUP BY frame",
+        "seg_dense_top_classes": f"""WITH {_DENSE_MAP}, t AS (SELECT *, row_number() OVER (PARTITION BY frame ORDER BY n_pixels DESC, label) AS rank FROM stats WHERE label <> 0)
+            SELECT frame, rank::INT AS rank, label, {_ADE.format('label')} AS name, n_pixels, {_ADE.format('label')} || chr(10) || printf('%.1f', share_pct) || '%' AS caption FROM t WHERE rank <= 15""",
+        "seg_dense_coverage": f"WITH {_DENSE_MAP} SELECT frame, count(*) FILTER (label <> 0) AS n_labels, round(coalesce(sum(n_pixels) FILTER (label <> 0), 0) / sum(n_pixels) * 100, 6) AS coverage_pct FROM stats GROUP BY frame",
+        "seg_dense_class_stats": f"WITH {_DENSE_MAP} SELECT frame, label, n_pixels, cx, cy, round(share_pct, 6) AS share_pct FROM stats",
+        "seg_dense_boundary": f"WITH {_DENSE_MAP}, edge AS (SELECT frame, y, x, label <> 0 AND NOT ({near}) AS b FROM map WINDOW r AS (PARTITION BY frame, y ORDER BY x), c AS (PARTITION BY frame, x ORDER BY y)) SELECT frame, string_agg(b::INT::VARCHAR, ',' ORDER BY y, x) AS is_boundary FROM edge GROUP BY frame",
         "seg_class_stats": f"WITH {_MAP} SELECT frame, label, n_pixels, cx, cy, round(share_pct, 6) AS share_pct FROM stats",
         "seg_top_classes": f"""WITH {_MAP}, t AS (SELECT *, row_number() OVER (PARTITION BY frame ORDER BY n_pixels DESC, label) AS rank FROM stats WHERE label <> 0)
             SELECT frame, rank::INT AS rank, label, {_ADE.format('label')} AS name, n_pixels, {_ADE.format('label')} || chr(10) || printf('%.1f', share_pct) || '%' AS caption FROM t WHERE rank <= 15""",

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -39,8 +39,8 @@ def suffix(path: Column) -> Column:
     return F.regexp_extract(F.substring_index(path, "/", -1), r"(?<=.)(\.[^.]+)$", 1)
 
 
-def _loaded(spark: SparkSession, path: str, kind: str) -> DataFrame:
-    reader = spark.read.format(kind)
+def _loaded(spark: SparkSession, path: str, kind: str, **options: str) -> DataFrame:
+    reader = spark.read.format(kind).options(**options)
     if _is_folder(spark, path):
         reader = reader.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{" + ",".join(SUFFIXES) + "}")
     return reader.load(path)
@@ -49,18 +49,40 @@ def _loaded(spark: SparkSession, path: str, kind: str) -> DataFrame:
 def listing(spark: SparkSession, path: str) -> DataFrame:
     """(path, length, modificationTime), sorted by components: a file as it is, or a folder's images of lower-case suffixes at any depth.
 
-    A path that doesn't exist raises FileNotFoundError, and a folder without images ValueError.
+    Files without bytes, which Spark's readers pass over, have length 0 and no time. A path that doesn't exist raises FileNotFoundError,
+    and a folder without images ValueError.
     """
     found = _loaded(spark, path, "binaryFile").drop("content")
-    if found.isEmpty():
+    names = found._jdf.inputFiles()  # those that the reader's own index holds
+    if not len(names):
         raise ValueError(f"no images in {path}")
+    if len(names) != found.count():
+        every = spark.createDataFrame([(n,) for n in names], "path string").select(plain_path(F.col("path")).alias("path"))
+        empty = every.join(found.select("path"), "path", "left_anti")
+        found = found.unionByName(empty.select("path", F.lit(0).cast("long").alias("length"), F.lit(None).cast("timestamp").alias("modificationTime")))
     return found.orderBy(path_order(F.col("path")))
 
 
+def plain_path(uri: Column) -> Column:
+    """An encoded URI as the path that a listing has."""
+    return F.regexp_replace(F.url_decode(F.replace(uri, F.lit("+"), F.lit("%2B"))), "^file:///", "file:/")
+
+
+def decoded(spark: SparkSession, path: str) -> DataFrame:
+    """(frame, height, width, channels, data, reason) of image files; data is row-major bytes, blue first.
+
+    A file that is no image has a reason and no data. One whose decoding breaks off (cut off, say) has no row: what `listing`
+    has and this lacks couldn't be read, as `plans.files.write_frames` reports.
+    """
+    image = _loaded(spark, path, "image", ignoreCorruptFiles="true").select("image.*")
+    whole = F.col("height") > 0
+    cells = [F.when(whole, F.col(c)).alias(n) for c, n in (("height", "height"), ("width", "width"), ("nChannels", "channels"), ("data", "data"))]
+    return image.select(plain_path(F.col("origin")).alias("frame"), *cells, F.when(~whole, F.lit("no image that can be decoded")).alias("reason"))
+
+
 def frames(spark: SparkSession, path: str) -> DataFrame:
-    """(frame, height, width, channels, data) of the images that Spark can decode; data is row-major bytes, blue first."""
-    image = _loaded(spark, path, "image").filter("image.height > 0")
-    return image.select(F.col("image.origin").alias("frame"), "image.height", "image.width", F.col("image.nChannels").alias("channels"), "image.data")
+    """`decoded` images that have data."""
+    return decoded(spark, path).filter("reason IS NULL").drop("reason")
 
 
 def samples(batch: pa.RecordBatch, row: int) -> np.ndarray:
@@ -124,23 +146,31 @@ def shrunk(image: np.ndarray, height: int, width: int) -> np.ndarray:
     return np.clip(np.rint(axis(rows.swapaxes(0, 1), width).swapaxes(0, 1)), 0, 255).astype(np.uint8)
 
 
-def model_frames(images: DataFrame, size: int | None = None) -> DataFrame:
-    """(frame, height, width, input) of decoded images (`frames`): the model's input, channel by channel, row by row.
+def model_frames(images: DataFrame, size: int | None = None, carry: Sequence[str] = ()) -> DataFrame:
+    """(frame, height, width, input, carry) of decoded images (`frames`): the model's input, channel by channel, row by row.
 
     Without a size the detector's: samples in [0, 1] at the image's own size. With one the segmentor's: resized to
-    size x size whatever the aspect, scaled and normalised by channel. height and width stay the image's own.
+    size x size whatever the aspect, scaled and normalised by channel. height and width stay the image's own. Columns
+    named in `carry` go along (as carry has them, but for height and width). Images without data have a null input.
     """
+    more = [c for c in carry if c not in ("height", "width")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
-                image = np.stack(rgb(samples(batch, k)), axis=-1)
-                if size is None:
-                    ready = image.astype(np.float32) / np.float32(255)
-                else:
-                    ready = ((shrunk(image, size, size) / 255 - MEAN) / DEVIATION).astype(np.float32)
-                values = pa.array([ready.transpose(2, 0, 1).ravel()], pa.list_(pa.float32()))
-                yield pa.RecordBatch.from_arrays([*batch.slice(k, 1).columns[:3], values], ["frame", "height", "width", "input"])
-
-    kind = images.schema["frame"].dataType.simpleString()
-    return images.select("frame", "height", "width", "channels", "data").mapInArrow(run, f"frame {kind}, height int, width int, input array<float>")
+                ready = None
+                if batch.column(4)[k].is_valid:
+                    image = np.stack(rgb(samples(batch, k)), axis=-1)
+                    if size is None:
+                        ready = image.astype(np.float32) / np.float32(255)
+                    else:
+                        ready = ((shrunk(image, size, size) / 255 - MEAN) / DEVIATION).astype(np.float32)
+                    ready = ready.transpose(2, 0, 1).ravel()
+                values = pa.array([ready], pa.list_(pa.float32()))
+                row = batch.slice(k, 1).columns
+                yield pa.RecordBatch.from_arrays([*row[:3], values, *row[5:]], ["frame", "height", "width", "input", *more])
+
+    kind = lambda c: images.schema[c].dataType.simpleString()
+    named = [F.col(c).alias(f"_carried_{i}") for i, c in enumerate(more)]
+    out = images.select("frame", "height", "width", "channels", "data", *named)
+    return out.mapInArrow(run, ", ".join([f"frame {kind('frame')}, height int, width int, input array<float>", *(f"{c} {kind(c)}" for c in more)]))

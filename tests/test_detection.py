@@ -66,8 +66,6 @@ def test_json_is_written_for_every_frame(spark, tmp_path):
     assert sinks.detection_file('[{"a":"é"}]') == '[\n  {\n    "a": "é"\n  }\n]'
     sinks.write_detections(found, f"file://{tmp_path}/out")
     assert spark.read.json(f"file://{tmp_path}/out").count() == 2
-    same = raw(spark, ("/x/b/i.png", [], [], []), ("/x/b-c/i.jpg", [], [], []))
-    assert [r.frame for r in sinks.last_of_stem(same).collect()] == ["/x/b-c/i.jpg"]
 
 
 def test_stream_gives_what_the_batch_gives(spark, tmp_path):
