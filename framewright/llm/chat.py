@@ -18,6 +18,8 @@ NARRATORS = ("system",)
 
 # How a mark begins and ends, with the backslashes that a text may have in between, and the same with one more.
 _MARKS = ((r"<(\\*)\|", r"<\\$1|"), (r"\|(\\*)>", r"|\\$1>"))
+# The same for a speaker's end, which stands before "|>".
+_END = (r"<(\\*)\z", r"<\\$1")
 
 
 def _escaped(text: Column, *marks: tuple[str, str]) -> Column:
@@ -36,7 +38,7 @@ def perspectives(messages: DataFrame, narrators: tuple[str, ...] = NARRATORS) ->
     target: they are for the perspective's own messages.
 
     No text or speaker can forge a mark: "<|" in either, and "|>" in a speaker, get a backslash in between (`<\\|`, `|\\>`;
-    one more where there are some already, so that the texts can be told back).
+    one more where there are some already, so that the texts can be told back), and so does a speaker's last "<", which "|>" follows.
 
     Messages stand by turn, ties by speaker and then text; a null turn comes first, a null speaker is
     "unknown", a null text is empty. Repeated rows are messages of their own. A conversation of
@@ -45,7 +47,7 @@ def perspectives(messages: DataFrame, narrators: tuple[str, ...] = NARRATORS) ->
     told = messages.select(
         "conv_id",
         "turn",
-        _escaped(F.coalesce(F.col("role"), F.lit("unknown")), *_MARKS).alias("speaker"),
+        _escaped(F.coalesce(F.col("role"), F.lit("unknown")), *_MARKS, _END).alias("speaker"),
         _escaped(F.coalesce(F.col("text"), F.lit("")), _MARKS[0]).alias("body"),
     )
     order = Window.partitionBy("conv_id").orderBy(F.asc_nulls_first("turn"), "speaker", "body")

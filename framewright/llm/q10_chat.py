@@ -19,7 +19,7 @@ QUERIES = {"op10_chat": op10_chat}
 
 # Marks in texts and speakers get a backslash, as the operator has them.
 _BODY = r"regexp_replace(coalesce(text, ''), '<(\\*)\|', '<\\\1|', 'g')"
-_SPEAKER = r"regexp_replace(regexp_replace(coalesce(role, 'unknown'), '<(\\*)\|', '<\\\1|', 'g'), '\|(\\*)>', '|\\\1>', 'g')"
+_SPEAKER = r"regexp_replace(regexp_replace(regexp_replace(coalesce(role, 'unknown'), '<(\\*)\|', '<\\\1|', 'g'), '\|(\\*)>', '|\\\1>', 'g'), '<(\\*)\z', '<\\\1')"
 
 ORACLE_SQL = {
     "op10_chat": f"""

@@ -1,5 +1,8 @@
 from __future__ import annotations
 
+import random
+import re
+
 import duckdb
 
 from framewright.llm import chat
@@ -39,6 +42,29 @@ def test_no_text_forges_a_mark(spark):
     assert theirs == {(r.perspective, r.text) for r in chat.rotate(messages).collect()}
 
 
+def test_only_own_marks_are_found(spark):
+    """Whatever speakers and texts are made of, marks are where segments begin and end, and speakers and texts can be told back."""
+    draw = random.Random(11)
+    piece = lambda: "".join(draw.choices(["<", "|", ">", "\\", "x", "end", "\n"], k=draw.randint(0, 6)))
+    rows = [(i, 0, "x<", "a", "") for i in range(2)] + [(i, k, piece(), piece(), "") for i in range(120) for k in range(1, 4)]
+    messages = spark.createDataFrame(rows, ROW)
+    for r in chat.perspectives(messages).collect():
+        head, body = r.segment[: r.body_start - r.start], r.segment[r.body_start - r.start :]
+        assert [m.start() for m in re.finditer(r"<\|", r.segment)] == [0, len(r.segment) - len("<|end|>\n")]
+        assert head.startswith("<|") and head.endswith("|>\n") and head.count("|>") == 1 and body.endswith("<|end|>\n")
+    def back(x, end):
+        x = re.sub(r"<\\(\\*)\|", r"<\1|", x)
+        return re.sub(r"<\\(\\*)\Z", r"<\1", re.sub(r"\|\\(\\*)>", r"|\1>", x)) if end else x
+
+    told = {(r.conv_id, r.seq): (back(r.speaker, True), back(r.segment[r.body_start - r.start : -len("<|end|>\n")], False)) for r in chat.perspectives(messages).collect()}
+    assert sorted(told.values()) == sorted((s, t) for _, _, s, t, _ in rows)
+    with duckdb.connect() as con:
+        con.execute("CREATE TABLE conversations (conv_id BIGINT, turn BIGINT, role VARCHAR, text VARCHAR)")
+        con.executemany("INSERT INTO conversations VALUES (?, ?, ?, ?)", [r[:4] for r in rows])
+        theirs = {(r[0], r[1], r[5]) for r in con.sql(ORACLE_SQL["op10_chat"]).fetchall()}
+    assert theirs == {(r.conv_id, r.perspective, r.text) for r in chat.rotate(messages).collect()}
+
+
 def test_parts_join_to_the_whole(spark):
     rows = [(1, i // 2, "ab"[i % 2], "x" * (i % 5), "") for i in range(100)] + [(1, 0, "a", "", "")]
     messages = spark.createDataFrame(rows, ROW).repartition(4)
