@@ -304,8 +304,11 @@ def similar_classes(documents: DataFrame, width: int = 5, percent: int = 80) ->
 
 def one_of_each(documents: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """The rows of documents that stand for their component: those with its least doc_id; of rows of one
-    id, one. Rows with a null id stay."""
+    id the one with the least text (null first), of equal texts that with the least other columns, in whatever order rows come. Rows with a null id stay."""
     found = similar_classes(documents, width, percent)
     stay = found.filter("doc_id = component_id").select("doc_id").distinct()
-    known = documents.filter("doc_id IS NOT NULL").join(stay, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return known.unionByName(documents.filter("doc_id IS NULL")).select(documents.columns)
+    columns = [F.col(f"`{c}`") for c in documents.columns]
+    others = F.to_json(F.struct(*(F.col(f"`{c}`") for c in documents.columns if c != "text")))
+    known = documents.filter("doc_id IS NOT NULL").select("doc_id", F.struct("text", others.alias("others")).alias("order"), F.struct(*columns).alias("row"))
+    known = known.join(stay, "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by("row", "order").alias("row")).select("row.*")
+    return known.unionByName(documents.filter("doc_id IS NULL")).select(columns)

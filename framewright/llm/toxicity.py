@@ -198,11 +198,29 @@ def score(documents: DataFrame, model: Model) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         finder = _Finder(model.weights)
         for batch in sliced(batches):
-            counts = [finder.counts(x or "") for x in batch.column(at).to_pylist()]
-            z = np.array([sum(model.weights[f] * (1 + np.log(n)) for f, n in sorted(c.items())) for c in counts], np.float64)
-            severity = np.round(model.expected(z), 6)
-            known = np.array([bool(c) for c in counts], bool)
-            extra = [pa.array(severity, pa.float64()), pa.array(np.floor(severity + 0.5).astype(np.int32), pa.int32()), pa.array((severity >= model.threshold) & known, pa.bool_())]
+            severity, toxic = _judged(finder, model, batch.column(at))
+            extra = [pa.array(severity, pa.float64()), pa.array(np.floor(severity + 0.5).astype(np.int32), pa.int32()), pa.array(toxic, pa.bool_())]
             yield pa.RecordBatch.from_arrays([*batch.columns, *extra], [*batch.schema.names, "severity", "grade", "toxic"])
 
     return kept.mapInArrow(run, ddl)
+
+
+def _judged(finder: _Finder, model: Model, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Severity of texts, and whether they are toxic."""
+    counts = [finder.counts(x or "") for x in texts.to_pylist()]
+    z = np.array([sum(model.weights[f] * (1 + np.log(n)) for f, n in sorted(c.items())) for c in counts], np.float64)
+    severity = np.round(model.expected(z), 6)
+    return severity, (severity >= model.threshold) & np.array([bool(c) for c in counts], bool)
+
+
+def without_toxic(documents: DataFrame, model: Model) -> DataFrame:
+    """The rows of `documents` whose text isn't toxic, with all their columns as they are, whatever their names. Null and empty texts stay."""
+    at = documents.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        finder = _Finder(model.weights)
+        for batch in sliced(batches):
+            yield batch.filter(pa.array(~_judged(finder, model, batch.column(at))[1]))
+
+    numbered = documents.toDF(*(f"c{k}" for k in range(len(documents.columns))))
+    return numbered.mapInArrow(run, numbered.schema).toDF(*documents.columns)
