@@ -1,36 +1,51 @@
-"""Layered template values: later layers win, and each may use what earlier ones set."""
+"""Layered template values: later layers win, and each may use what earlier ones set. All are expressions over columns."""
 
 from __future__ import annotations
 
-import re
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-_FIELD = re.compile(r"\{\{|\}\}|\{([A-Za-z_][A-Za-z0-9_]*)\}|[{}]")
+#: Ordered keys and values; a map column keeps no order.
+ENTRIES = "array<struct<key:string,value:string>>"
+VALUES = "map<string,string>"
+# A template's segments: doubled braces, {name}, any other brace, and the text between them.
+_SEGMENT = r"\{\{|\}\}|\{[A-Za-z_][A-Za-z0-9_]*\}|[{}]|[^{}]+"
 
 
-def render(template: str, values: Mapping[str, str]) -> str:
-    """{key} by its value, a missing key by nothing, {{ and }} by one brace; any other brace raises ValueError."""
+def rendered(template: Column, values: Column) -> Column:
+    """{key} by its value in the map `values`, a missing key by nothing, {{ and }} by one brace; any other brace is an error. A null template is null."""
 
-    def one(m: re.Match) -> str:
-        if m[1]:
-            return values.get(m[1], "")
-        if len(m[0]) == 2:
-            return m[0][0]
-        raise ValueError(f"stray brace in {template!r}")
+    def one(segment: Column) -> Column:
+        found = F.when(segment.isin("{{", "}}"), F.substring(segment, 1, 1))
+        found = found.when(segment.isin("{", "}"), F.raise_error(F.concat(F.lit("stray brace in "), template)).cast("string"))
+        known = F.try_element_at(values, F.substring(segment, 2, F.char_length(segment) - 2))
+        return found.when(segment.startswith("{"), F.coalesce(known, F.lit(""))).otherwise(segment)
 
-    return _FIELD.sub(one, template)
+    return F.array_join(F.transform(F.regexp_extract_all(template, F.lit(_SEGMENT), 0), one), "")
 
 
-def build(data: Mapping[str, str], *layers: Mapping[str, str]) -> dict[str, str]:
-    """`data` (say, the environment) as it is, then each layer's values rendered by what stands so far."""
-    out = dict(data)
+def folded(values: Column, *layers: Column) -> Column:
+    """The map `values` as it is, then each layer's ENTRIES in order, rendered by what stands so far."""
     for layer in layers:
-        for key, value in layer.items():
-            out[str(key)] = render(str(value), out)
-    return out
+        values = F.aggregate(layer.cast(ENTRIES), values.cast(VALUES), lambda out, e: laid(out, F.create_map(e["key"], rendered(e["value"], out))))
+    return values
+
+
+def laid(under: Column, over: Column) -> Column:
+    """Both maps; of keys that both have, the value of `over`."""
+    return F.map_concat(F.map_filter(under, lambda k, v: ~F.map_contains_key(over, k)), over).cast(VALUES)
+
+
+def entries(values: Mapping[str, str]) -> Column:
+    """A mapping as ENTRIES, in its order."""
+    return F.array(*(F.struct(F.lit(k).alias("key"), F.lit(v).alias("value")) for k, v in values.items())).cast(ENTRIES)
+
+
+def mapped(layer: Column, values: Column) -> Column:
+    """A layer's ENTRIES as a map, each rendered by `values`; of equal keys the last stays."""
+    return F.aggregate(layer.cast(ENTRIES), F.create_map().cast(VALUES), lambda out, e: laid(out, F.create_map(e["key"], rendered(e["value"], values))))
 
 
 def overlay(layers: DataFrame) -> DataFrame:

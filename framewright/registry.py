@@ -6,6 +6,7 @@ Floats are rounded before they are compared or ordered, so that engines agree on
 from __future__ import annotations
 
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,6 +18,7 @@ from framewright.operators import detection, diagnostics, parameters, rendering,
 from framewright.plans import context, runner
 from framewright.plans.ranking import ranked
 from framewright.sources import images
+from framewright.sources.project import Project
 
 FLAGSHIP = "seg_valid_queries"
 
@@ -201,18 +203,20 @@ def context_changed(s: SparkSession, d: str) -> DataFrame:
 
 
 def plan_overview(s: SparkSession, d: str) -> DataFrame:
-    return runner.overview(_pipelines(s, d))
+    return runner.overview(T.pipelines(s, d).withColumn("ordinal", F.col("ordinal").cast("long")))
 
 
 def plan_selected(s: SparkSession, d: str) -> DataFrame:
     only = T.read(s, d, "supplier").filter("s_suppkey % 3 = 0").select(F.col("s_name").alias("name"))
-    return runner.selected(_pipelines(s, d), only).select("ordinal", "name", "type")
+    return runner.selected(T.pipelines(s, d), only).select(F.col("ordinal").cast("long").alias("ordinal"), "name", "type")
 
 
-def _pipelines(s: SparkSession, d: str) -> DataFrame:
-    """Suppliers as pipelines: enabled with a positive balance."""
-    supplier = T.read(s, d, "supplier")
-    return supplier.select(F.col("s_suppkey").alias("ordinal"), F.col("s_name").alias("name"), F.concat(F.lit("type_"), F.col("s_nationkey").cast("string")).alias("type"), (F.col("s_acctbal") > 0).alias("enabled"), F.lit(None).cast("string").alias("description"))
+def plan_steps(s: SparkSession, d: str) -> DataFrame:
+    """Commands, environments and folders of the enabled pipelines' tasks, as text."""
+    project = Project([], python_executable="py", accelerate_command="acc", accelerate_config=Path("/cfg/acc.yaml"), accelerate_args=["--n={tag}"], environment={"ROOT": "{base}/r"}, context={"base": "/data", "tag": "t", "nested": "{base}/n"})
+    found = runner.steps(runner.selected(T.pipelines(s, d)), T.tasks(s, d), project, {"HOME": "/home/u", "KEEP": "{as it is", "A": "old"})
+    changes = F.array_join(F.transform(F.array_sort(F.map_entries("changes")), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ";")
+    return found.select("pipeline_ordinal", "ordinal", "pipeline", "task", runner.shown(F.col("command")).alias("command"), F.size("command").alias("n"), changes.alias("changes"), F.col("env")["KEEP"].alias("kept"), "folder")
 
 
 def pixel_inputs(s: SparkSession, d: str) -> DataFrame:
@@ -233,7 +237,7 @@ _QUERIES = (
     seg_dense_class_stats, seg_dense_top_classes, seg_dense_coverage, seg_dense_boundary,
     det_rows, det_postprocess, det_documents, det_label_range, diag_top_classes, diag_mask_stats, diag_top_queries,
     param_listing, param_modules, param_categories, param_output_keys, param_backbone_keys, param_heads_segmentation, param_heads_detection, param_metadata,
-    file_listing, file_complete, context_overlay, context_changed, plan_overview, plan_selected, pixel_inputs, class_names,
+    file_listing, file_complete, context_overlay, context_changed, plan_overview, plan_selected, plan_steps, pixel_inputs, class_names,
 )
 
 
@@ -348,6 +352,14 @@ def oracle_sql() -> dict[str, str]:
             SELECT key, value FROM n EXCEPT SELECT key, value FROM o""",
         "plan_overview": "SELECT s_suppkey AS ordinal, s_name AS name, 'type_' || s_nationkey AS type, CASE WHEN s_acctbal > 0 THEN 'enabled' ELSE 'disabled' END AS status, NULL::VARCHAR AS description FROM supplier",
         "plan_selected": "SELECT s_suppkey AS ordinal, s_name AS name, 'type_' || s_nationkey AS type FROM supplier WHERE s_acctbal > 0 AND s_suppkey % 3 = 0",
+        "plan_steps": """WITH t AS (SELECT s_suppkey::INT AS pipeline_ordinal, p_partkey::INT AS ordinal, s_name AS pipeline, p_name AS task, p_size AS z, p_brand AS brand, 'type_' || s_nationkey AS kind, '/repo/' || s_suppkey AS repo
+                FROM part JOIN supplier ON p_partkey % 50 = s_suppkey WHERE s_acctbal > 0),
+            c AS (SELECT *, list_concat(
+                CASE WHEN z % 2 = 0 THEN list_concat(['acc', 'launch', '--config_file', '/cfg/acc.yaml'], CASE WHEN z % 4 <> 0 THEN ['--num_processes', (z % 4)::VARCHAR] ELSE [] END, CASE WHEN z % 3 = 0 THEN ['--mixed_precision', 'bf16'] ELSE [] END, ['--n=tt', '--p=tt']) ELSE ['py'] END,
+                CASE WHEN z % 5 = 0 THEN ['-m', 'pkg.tt'] WHEN z % 7 = 0 THEN ['/abs/x.py'] ELSE ['/repo/lib/run_' || kind || '.py'] END, ['--out', '/data/n/' || kind || '/' || brand, '{x}']) AS c FROM t)
+            SELECT pipeline_ordinal, ordinal, pipeline, task, array_to_string(list_transform(c, lambda x: CASE WHEN regexp_full_match(x, '[A-Za-z0-9_@%+=:,./-]+') THEN x ELSE chr(39) || x || chr(39) END), ' ') AS command, len(c)::INT AS n,
+                'A=' || CASE WHEN z % 2 = 0 THEN pipeline || '-' || z ELSE 'p-' || pipeline END || ';B=/data/n/' || kind || ';ROOT=/data/r' AS changes, '{as it is' AS kept,
+                CASE z % 4 WHEN 0 THEN repo WHEN 1 THEN repo || '/wtt' WHEN 2 THEN '/home/u/x' ELSE '/abs/' || pipeline END AS folder FROM c""",
         "pixel_inputs": """WITH v AS (SELECT vec_id AS frame, (i - 1)::INT AS x, floor(abs(embedding[i]::DOUBLE) * 255)::INT AS v FROM embeddings, range(1, 65) r(i))
             SELECT frame, x, round((v / 255)::FLOAT::DOUBLE, 5) AS dr, round(((255 - v) / 255)::FLOAT::DOUBLE, 5) AS dg, 0.0::DOUBLE AS db, round(((v / 255 - 0.485) / 0.229)::FLOAT::DOUBLE, 5) AS r,
             round((((255 - v) / 255 - 0.456) / 0.224)::FLOAT::DOUBLE, 5) AS g, round(((0 - 0.406) / 0.225)::FLOAT::DOUBLE, 5) AS b FROM v""",

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import copy
 from collections.abc import Mapping
 from dataclasses import dataclass, field
 from pathlib import Path
@@ -11,21 +12,55 @@ import yaml
 from pyspark.sql import DataFrame, SparkSession
 
 
-def _required(data: Mapping[str, Any], names: set[str], what: str) -> None:
-    missing = sorted(names - set(data))
-    if missing:
-        raise ValueError(f"{what} lacks required keys: {', '.join(missing)}")
+def _text(value: Any, base: Path) -> str:
+    return str(value)
 
 
-def _known(data: Mapping[str, Any], names: set[str], what: str) -> None:
-    """A misspelt key must not silently leave a default in force."""
-    unknown = sorted(set(map(str, data)) - names)
-    if unknown:
-        raise ValueError(f"{what} has unknown keys: {', '.join(unknown)}")
+def _truth(value: Any, base: Path) -> bool:
+    return bool(value)
+
+
+def _whole(value: Any, base: Path) -> int:
+    return int(value)
+
+
+def _list(value: Any, base: Path) -> list[str]:
+    return [str(x) for x in value]
+
+
+def _mapping(value: Any, base: Path) -> dict[str, str]:
+    return {str(k): str(v) for k, v in value.items()}
+
 
+def _path(value: Any, base: Path) -> Path:
+    return resolved(str(value), base)
 
-def _texts(data: Mapping | None) -> dict[str, str]:
-    return {str(k): str(v) for k, v in (data or {}).items()}
+
+# The format's keys at each level, how each is read, and what stands where it is missing or null; ... marks a required key.
+TASK = {"name": (_text, ...), "script": (_text, ...), "args": (_list, []), "use_accelerate": (_truth, False), "num_processes": (_whole, None), "mixed_precision": (_text, None),
+        "env": (_mapping, {}), "working_dir": (_text, None), "python_module": (_truth, False), "comment": (_text, None)}
+PIPELINE = {"name": (_text, ...), "type": (_text, ...), "repo_path": (_path, ...), "enabled": (_truth, True), "description": (_text, None), "environment": (_mapping, {}),
+            "context": (_mapping, {}), "accelerate_args": (_list, []), "tasks": (None, [])}
+ACCELERATE = {"command": (_text, "accelerate"), "config": (_path, None), "args": (_list, [])}
+EXECUTION = {"python": (_text, "python"), "accelerate": (None, {})}
+ABOUT = {"name": (_text, None), "description": (_text, None)}
+PROJECT = {"project": (None, {}), "execution": (None, {}), "environment": (_mapping, {}), "context": (_mapping, {}), "pipelines": (None, [])}
+
+
+def checked(data: Mapping[str, Any], keys: dict, what: str, base: Path) -> dict[str, Any]:
+    """The values of one level by its keys. A required key that lacks is an error, and so is an unknown one: a misspelt key must not silently leave a default in force."""
+    data = {str(k): v for k, v in data.items()}
+    missing, unknown = sorted(k for k, (_, usual) in keys.items() if usual is ... and k not in data), sorted(set(data) - set(keys))
+    if missing:
+        raise ValueError(f"{what} lacks required keys: {', '.join(missing)}")
+    if unknown:
+        raise ValueError(f"{what} has unknown keys: {', '.join(unknown)}")
+    out = {}
+    for key, (read, usual) in keys.items():
+        value = data.get(key)
+        blank = value is None or (value == "" and usual is None)
+        out[key] = (copy.copy(usual) if usual is not ... else str(value)) if blank else read(value, base) if read else value
+    return out
 
 
 @dataclass
@@ -41,15 +76,6 @@ class Task:
     python_module: bool = False
     comment: str | None = None
 
-    @classmethod
-    def load(cls, data: Mapping[str, Any]) -> Task:
-        _required(data, {"name", "script"}, "a task")
-        processes = data.get("num_processes")
-        return cls(
-            str(data["name"]), str(data["script"]), [str(x) for x in data.get("args") or []], bool(data.get("use_accelerate", False)), None if processes is None else int(processes),
-            data.get("mixed_precision"), _texts(data.get("env")), str(data["working_dir"]) if data.get("working_dir") else None, bool(data.get("python_module", False)), data.get("comment"),
-        )
-
 
 @dataclass
 class Pipeline:
@@ -63,14 +89,6 @@ class Pipeline:
     accelerate_args: list[str] = field(default_factory=list)
     tasks: list[Task] = field(default_factory=list)
 
-    @classmethod
-    def load(cls, data: Mapping[str, Any], base: Path) -> Pipeline:
-        _required(data, {"name", "type", "repo_path"}, "a pipeline")
-        return cls(
-            str(data["name"]), str(data["type"]), resolved(str(data["repo_path"]), base), bool(data.get("enabled", True)), data.get("description"), _texts(data.get("environment")),
-            _texts(data.get("context")), [str(x) for x in data.get("accelerate_args") or []], [Task.load(t) for t in data.get("tasks") or []],
-        )
-
 
 @dataclass
 class Project:
@@ -122,43 +140,49 @@ def parse_overrides(values: list[str]) -> list[tuple[str, str]]:
 
 
 def load_project(path: str | Path) -> Project:
-    """Read and check a project file; relative paths stand below its folder. A project without a name has the file's."""
+    """Read and check a project file; relative paths stand below its folder. A project without a name has the file's. Keys that the format doesn't have are errors at every level."""
     where = Path(path).expanduser().resolve()
-    data = yaml.safe_load(where.read_text(encoding="utf-8")) or {}
-    about, execution = data.get("project") or {}, data.get("execution") or {}
-    accelerate = execution.get("accelerate") or {}
-    _known(about, {"name", "description"}, "project")
-    _known(execution, {"python", "accelerate"}, "execution")
-    _known(accelerate, {"command", "config", "args"}, "execution.accelerate")
-    pipelines = [Pipeline.load(p, where.parent) for p in data.get("pipelines") or []]
+    base = where.parent
+    data = checked(yaml.safe_load(where.read_text(encoding="utf-8")) or {}, PROJECT, "the file", base)
+    about, execution = checked(data["project"], ABOUT, "project", base), checked(data["execution"], EXECUTION, "execution", base)
+    accelerate = checked(execution["accelerate"], ACCELERATE, "execution.accelerate", base)
+    pipelines = [Pipeline(**checked(p, PIPELINE, "a pipeline", base)) for p in data["pipelines"]]
     if not pipelines:
         raise ValueError("a project needs at least one pipeline")
-    description, config = about.get("description"), accelerate.get("config")
+    for one in pipelines:
+        one.tasks = [Task(**checked(t, TASK, "a task", base)) for t in one.tasks]
     return Project(
         pipelines,
-        name=str(about.get("name", where.stem)),
-        description=None if description is None else str(description),
-        python_executable=str(execution.get("python", "python")),
-        accelerate_command=str(accelerate.get("command", "accelerate")),
-        accelerate_config=resolved(str(config), where.parent) if config else None,
-        accelerate_args=[str(x) for x in accelerate.get("args") or []],
-        environment=_texts(data.get("environment")),
-        context=_texts(data.get("context")),
+        name=about["name"] or where.stem,
+        description=about["description"],
+        python_executable=execution["python"],
+        accelerate_command=accelerate["command"],
+        accelerate_config=accelerate["config"],
+        accelerate_args=accelerate["args"],
+        environment=data["environment"],
+        context=data["context"],
     )
 
 
+_ENTRIES = "array<struct<key:string,value:string>>"
 TASKS = (
-    "pipeline string, ordinal int, name string, script string, args array<string>, use_accelerate boolean, num_processes int, mixed_precision string, "
-    "env map<string,string>, working_dir string, python_module boolean, comment string"
+    "pipeline_ordinal int, pipeline string, ordinal int, name string, script string, args array<string>, use_accelerate boolean, num_processes int, mixed_precision string, "
+    f"env {_ENTRIES}, working_dir string, python_module boolean, comment string"
 )
-PIPELINES = "ordinal int, name string, type string, repo_path string, enabled boolean, description string, environment map<string,string>, context map<string,string>, accelerate_args array<string>"
+PIPELINES = f"ordinal int, name string, type string, repo_path string, enabled boolean, description string, environment {_ENTRIES}, context {_ENTRIES}, accelerate_args array<string>"
 
 
 def task_table(spark: SparkSession, project: Project) -> DataFrame:
-    rows = [(p.name, i, t.name, t.script, t.args, t.use_accelerate, t.num_processes, t.mixed_precision, t.env, t.working_dir, t.python_module, t.comment) for p in project.pipelines for i, t in enumerate(p.tasks)]
+    """TASKS: every pipeline's tasks, numbered. Layers are arrays of keys and values, as their order counts."""
+    rows = [
+        (i, p.name, k, t.name, t.script, t.args, t.use_accelerate, t.num_processes, t.mixed_precision, list(t.env.items()), t.working_dir, t.python_module, t.comment)
+        for i, p in enumerate(project.pipelines)
+        for k, t in enumerate(p.tasks)
+    ]
     return spark.createDataFrame(rows, TASKS)
 
 
 def pipeline_table(spark: SparkSession, project: Project) -> DataFrame:
-    rows = [(i, p.name, p.type, str(p.repo_path), p.enabled, p.description, p.environment, p.context, p.accelerate_args) for i, p in enumerate(project.pipelines)]
+    """PIPELINES, in order."""
+    rows = [(i, p.name, p.type, str(p.repo_path), p.enabled, p.description, list(p.environment.items()), list(p.context.items()), p.accelerate_args) for i, p in enumerate(project.pipelines)]
     return spark.createDataFrame(rows, PIPELINES)

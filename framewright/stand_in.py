@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from framewright.plans.context import ENTRIES, entries
+
 #: Masks are 8 x 8, so a query needs this many pixels instead of the production value.
 LEAST_AREA = 30
 THRESHOLD, MOST = 0.1, 10
@@ -62,3 +64,26 @@ def listing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def layers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Context layers from events: the length of the type's name is the layer, the user the key."""
     return read(spark, sf_dir, "events").select(F.char_length("event_type").alias("layer"), F.concat(F.lit("user_"), F.col("user_id").cast("string")).alias("key"), F.lpad(F.col("event_id").cast("string"), 12, "0").alias("value"))
+
+
+def pipelines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers as pipelines (PIPELINES), enabled with a positive balance; the pipeline's own values use the project's."""
+    key = F.col("s_suppkey").cast("string")
+    return read(spark, sf_dir, "supplier").select(
+        F.col("s_suppkey").cast("int").alias("ordinal"), F.col("s_name").alias("name"), F.concat(F.lit("type_"), F.col("s_nationkey").cast("string")).alias("type"), F.concat(F.lit("/repo/"), key).alias("repo_path"),
+        (F.col("s_acctbal") > 0).alias("enabled"), F.lit(None).cast("string").alias("description"), entries({"B": "{out}", "A": "p-{pipeline}"}).alias("environment"),
+        entries({"out": "{nested}/{pipeline_type}", "tag": "{tag}{tag}"}).alias("context"), F.array(F.lit("--p={tag}")).alias("accelerate_args"),
+    )
+
+
+def tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as tasks (TASKS) of the first 50 suppliers; the part's size picks the kind of script, launcher and folder."""
+    size = F.col("p_size")
+    own = F.array(F.struct(F.lit("A").alias("key"), F.concat(F.lit("{pipeline}-"), size.cast("string")).alias("value"))).cast(ENTRIES)
+    return read(spark, sf_dir, "part").select(
+        (F.col("p_partkey") % 50).cast("int").alias("pipeline_ordinal"), F.lit(None).cast("string").alias("pipeline"), F.col("p_partkey").cast("int").alias("ordinal"), F.col("p_name").alias("name"),
+        F.when(size % 5 == 0, "pkg.{tag}").when(size % 7 == 0, "/abs/{missing}x.py").otherwise("../lib/./run_{pipeline_type}.py").alias("script"),
+        F.array(F.lit("--out"), F.concat(F.lit("{out}/"), F.col("p_brand")), F.lit("{{x}}")).alias("args"), (size % 2 == 0).alias("use_accelerate"), F.nullif(size % 4, F.lit(0)).alias("num_processes"),
+        F.when(size % 3 == 0, "bf16").alias("mixed_precision"), F.when(size % 2 == 0, own).otherwise(F.array().cast(ENTRIES)).alias("env"),
+        F.when(size % 4 == 1, "w{tag}").when(size % 4 == 2, "~/x").when(size % 4 == 3, "/abs/{pipeline}").alias("working_dir"), (size % 5 == 0).alias("python_module"), F.lit(None).cast("string").alias("comment"),
+    )

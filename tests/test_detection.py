@@ -59,6 +59,29 @@ def test_names(spark):
     assert dimension(spark, COCO).count() == 80
 
 
+# The names as their data sets list them.
+COCO_NAMES = """
+person, bicycle, car, motorcycle, airplane, bus, train, truck, boat, traffic light, fire hydrant, stop sign, parking meter, bench, bird, cat, dog, horse, sheep, cow,
+elephant, bear, zebra, giraffe, backpack, umbrella, handbag, tie, suitcase, frisbee, skis, snowboard, sports ball, kite, baseball bat, baseball glove, skateboard, surfboard,
+tennis racket, bottle, wine glass, cup, fork, knife, spoon, bowl, banana, apple, sandwich, orange, broccoli, carrot, hot dog, pizza, donut, cake, chair, couch, potted plant, bed,
+dining table, toilet, tv, laptop, mouse, remote, keyboard, cell phone, microwave, oven, toaster, sink, refrigerator, book, clock, vase, scissors, teddy bear, hair drier, toothbrush
+"""
+ADE_NAMES = """
+wall, building, sky, floor, tree, ceiling, road, bed, windowpane, grass, cabinet, sidewalk, person, earth, door, table, mountain, plant, curtain, chair, car, water, painting, sofa, shelf, house, sea, mirror,
+rug, field, armchair, seat, fence, desk, rock, wardrobe, lamp, bathtub, railing, cushion, base, box, column, signboard, chest of drawers, counter, sand, sink, skyscraper, fireplace, refrigerator,
+grandstand, path, stairs, runway, case, pool table, pillow, screen door, stairway, river, bridge, bookcase, blind, coffee table, toilet, flower, book, hill, bench, countertop, stove, palm, kitchen island,
+computer, swivel chair, boat, bar, arcade machine, hovel, bus, towel, light, truck, tower, chandelier, awning, streetlight, booth, television, airplane, dirt track, apparel, pole, land, bannister,
+escalator, ottoman, bottle, buffet, poster, stage, van, ship, fountain, conveyer belt, canopy, washer, plaything, swimming pool, stool, barrel, basket, waterfall, tent, bag, minibike, cradle, oven, ball,
+food, step, tank, trade name, microwave, pot, animal, bicycle, lake, dishwasher, screen, blanket, sculpture, hood, sconce, vase, traffic light, tray, ashcan, fan, pier, crt screen, plate, monitor,
+bulletin board, shower, radiator, glass, clock, flag
+"""
+
+
+def test_names_are_those_of_the_data_sets():
+    assert list(COCO) == [x.strip() for x in COCO_NAMES.replace("\n", " ").split(",")]
+    assert list(ADE20K) == [x.strip() for x in ADE_NAMES.replace("\n", " ").split(",")]
+
+
 def test_json_is_written_for_every_frame(spark, tmp_path):
     found = D.detections(raw(spark, ("/x/a.png", [BOX], [0.75], [3]), ("/x/b.png", [], [], [])))
     docs = {r.frame: json.loads(r.json) for r in D.documents(found).collect()}

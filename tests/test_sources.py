@@ -1,6 +1,9 @@
 from __future__ import annotations
 
+import shlex
 import struct
+import subprocess
+import sys
 import zlib
 
 import pandas as pd
@@ -10,7 +13,7 @@ from pyspark.sql import functions as F
 from framewright.operators import parameters as P
 from framewright.operators.inference import infer
 from framewright.plans import context
-from framewright.plans.runner import Runner, check_adapters, main, output_folders, overview, parts, selected
+from framewright.plans.runner import Runner, below, check_adapters, main, output_folders, overview, parts, selected, shown
 from framewright.sources import images
 from framewright.sources.project import load_project, parse_overrides, pipeline_table, task_table
 
@@ -86,6 +89,16 @@ PARAMS = [
 ]
 
 
+def test_key_marks_are_fixed():
+    assert P.CATEGORIES == {
+        "backbone": (("blocks", "patch_embed", "pos_embed"), 5),
+        "detection": (("detector", "rpn", "roi", "box", "class"), 5),
+        "segmentation": (("decoder", "head", "mask_embed", "query"), 10),
+        "output": (("fc", "classifier", "linear"), 10),
+    }
+    assert (P.HEAD_MARKS, P.HEADS, P.LISTED, P.NOT_METADATA) == (("head", "decoder", "classifier", "fc"), 10, 30, ("model", "state_dict"))
+
+
 def test_parameter_reports(spark):
     params = spark.createDataFrame(PARAMS, "ordinal int, key string, is_tensor boolean, shape array<bigint>, dtype string")
     assert [(r.module, r.n) for r in P.modules(params).collect()] == [("head", 2), ("fc", 2), ("backbone", 1), ("decoder", 1), ("x", 1)]
@@ -126,15 +139,35 @@ def project_file(tmp_path):
     return path
 
 
-def test_commands_and_environment(project_file, tmp_path):
+def test_commands_and_environment(spark, project_file, tmp_path):
     project = load_project(project_file)
-    runner = Runner(project, environment={"HOME": "{not a template"})
-    steps = list(runner.steps())
-    plain, fast = steps
+    found = Runner(spark, project, environment={"HOME": "{not a template"}).steps()
+    plain, fast = found.collect()
     assert plain.command == ["py", str(tmp_path / "code/run.py"), "--out", "/data/n/one", "", "{x}"]
     assert plain.env["A"] == "vision" and plain.env["ROOT"] == "/data/r" and plain.folder == str(tmp_path / "code")
     assert fast.command == ["acc", "launch", "--config_file", str(tmp_path / "acc.yaml"), "--num_processes", "2", "--mixed_precision", "bf16", "--x=t", "--p", "-m", "pkg.mod"]
-    assert runner.changes(plain) == {"ROOT": "/data/r", "A": "vision"}
+    assert plain.changes == {"ROOT": "/data/r", "A": "vision"} and fast.changes == {"ROOT": "/data/r"} and plain.env["HOME"] == "{not a template"
+    words = ["a", "", "it's", "x y", "/p-1_=:,.@%+", "é", "$HOME", '"']
+    assert spark.range(1).select(shown(F.array(*map(F.lit, words)))).first()[0] == shlex.join(words)
+
+
+def test_paths_below_a_folder(spark):
+    paths = ["a", "./a/../b", "../../../x", "/abs/../y", "~/z", "~", "", "a//b/"]
+    found = spark.range(1).select(*(below(F.lit(p), F.lit("/r/s"), "/home/me").alias(str(k)) for k, p in enumerate(paths))).first()
+    assert list(found) == ["/r/s/a", "/r/s/b", "/x", "/abs/../y", "/home/me/z", "/home/me", "/r/s", "/r/s/a/b"]
+
+
+def test_tasks_run_in_order_and_the_first_failure_ends_the_run(spark, tmp_path):
+    (tmp_path / "code").mkdir()
+    (tmp_path / "code" / "t.py").write_text("import os, sys\nopen('log', 'a').write(sys.argv[1] + os.environ['K'] + os.getcwd()[-4:] + ' ')\nsys.exit(sys.argv[1] == 'bad')")
+    tasks = ", ".join(f"{{name: {n}, script: t.py, args: ['{n}'], env: {{K: '{{tag}}'}}}}" for n in ("one", "bad", "two"))
+    path = tmp_path / "p.yaml"
+    path.write_text(f"execution: {{python: '{sys.executable}'}}\ncontext: {{tag: '1'}}\npipelines:\n  - {{name: a, type: b, repo_path: code, tasks: [{tasks}]}}\n  - {{name: a, type: b, repo_path: code, context: {{tag: '2'}}, tasks: [{{name: last, script: t.py, args: [last]}}]}}")
+    runner = Runner(spark, load_project(path))
+    with pytest.raises(subprocess.CalledProcessError):
+        runner.run()
+    assert (tmp_path / "code" / "log").read_text() == "one1code bad1code "
+    assert [r.task for r in runner.steps().collect()] == ["one", "bad", "two", "last"] and runner.steps([]).count() == 0
 
 
 def test_project_keys(project_file, tmp_path):
@@ -142,11 +175,15 @@ def test_project_keys(project_file, tmp_path):
     assert (project.name, project.description, project.python_executable) == ("demo", "two lines", "py")
     assert project.accelerate_config == (tmp_path / "acc.yaml").resolve()
     one = "pipelines: [{name: a, type: b, repo_path: c}]"
-    for text, what in (("execution: {python_executable: x}", "python_executable"), ("execution: {accelerate: {config_file: x}}", "config_file"), ("project: {title: x}", "title")):
+    for text, what in (("execution: {python_executable: x}", "python_executable"), ("execution: {accelerate: {config_file: x}}", "config_file"), ("project: {title: x}", "title"), ("pipelnes: []", "pipelnes")):
         path = tmp_path / "unknown.yaml"
         path.write_text(f"{text}\n{one}")
         with pytest.raises(ValueError, match=what):
             load_project(path)
+    for text, what in (("pipelines: [{name: a, type: b, repo_path: c, enable: false}]", "enable"), ("pipelines: [{name: a, type: b, repo_path: c, tasks: [{name: x, script: s, argz: []}]}]", "argz")):
+        path.write_text(text)
+        with pytest.raises(ValueError, match=what):
+            load_project(path)
     path = tmp_path / "nameless.yaml"
     path.write_text(f"execution: {{accelerate: {{config: null}}}}\n{one}")
     assert load_project(path).name == "nameless" and load_project(path).accelerate_config is None and load_project(path).python_executable == "python"
@@ -155,8 +192,8 @@ def test_project_keys(project_file, tmp_path):
 def test_overrides_and_selection(project_file, spark):
     project = load_project(project_file)
     project.override(parse_overrides([" tag = a=b", "pipeline:one.out=/o", "tag=later"]))
-    assert project.context["tag"] == "later" and next(Runner(project, environment={}).steps()).command[3] == "/o"
-    assert list(Runner(project).steps(["spare", "nobody"])) == []
+    assert project.context["tag"] == "later" and Runner(spark, project, environment={}).steps().first().command[3] == "/o"
+    assert Runner(spark, project).steps(["spare", "nobody"]).collect() == []
     with pytest.raises(KeyError):
         project.override([("pipeline:nobody.x", "1")])
     with pytest.raises(ValueError):
@@ -176,12 +213,15 @@ def test_checks(tmp_path):
             load_project(path)
 
 
-def test_templates():
-    assert context.render("{a}{b}{{c}}", {"a": "1"}) == "1{c}"
+def test_templates(spark):
+    one = spark.range(1)
+    values = F.create_map(F.lit("a"), F.lit("1"), F.lit("n"), F.lit(None).cast("string"))
+    assert one.select(context.rendered(F.lit("{a}{b}{{c}}\n{n}é"), values)).first()[0] == "1{c}\né" and one.select(context.rendered(F.lit(""), values)).first()[0] == ""
     for bad in ("{", "{}", "{0}", "{a.b}", "}"):
-        with pytest.raises(ValueError):
-            context.render(bad, {})
-    assert context.build({"a": "{"}, {"b": "x{a}"}, {"b": "{b}y"}) == {"a": "{", "b": "x{y"}
+        with pytest.raises(Exception, match="stray brace"):
+            one.select(context.rendered(F.lit(bad), values)).collect()
+    built = context.folded(context.mapped(context.entries({"a": "{{"}), values), context.entries({"b": "x{a}"}), context.entries({"b": "{b}y", "c": "{b}"}))
+    assert one.select(built).first()[0] == {"a": "{", "b": "x{y", "c": "x{y"}
 
 
 def test_parts():
@@ -193,7 +233,7 @@ def test_parts():
         parts("none")
 
 
-def test_command_line(project_file, capsys):
+def test_command_line(spark, project_file, capsys):
     assert main(["--config", str(project_file), "--list"]) == 0
     assert "spare [vision] disabled" in capsys.readouterr().out
     assert main(["--config", str(project_file), "--dry-run", "--only", "one", "--set", "tag=z"]) == 0
