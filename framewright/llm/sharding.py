@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from framewright.llm.common import saved
 
 _KEY = ["size", "content", "text_crc32"]
+#: A group with more than one row in so many is large.
+LARGE = 500
 
 
 def shard_by_bytes(df: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -28,9 +30,9 @@ def shard_by_bytes(df: DataFrame, shards: int = 8, id_col: str = "doc_id", text_
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = df.select(F.col(id_col).alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.xxhash64(text).alias("content"), F.crc32(F.encode(text, "utf-8")).alias("text_crc32"))
-    groups = rows.groupBy(*_KEY).agg(F.sum("size").alias("group_bytes"))
+    groups = saved(rows.groupBy(*_KEY).agg(F.sum("size").alias("group_bytes"), F.count(F.lit(1)).alias("copies")), "groups")
     order = [F.desc("group_bytes"), F.asc("content"), F.asc("size"), F.asc("text_crc32"), F.asc_nulls_first("doc_id")]
-    placed = rows.join(groups, _KEY).repartitionByRange(*order).sortWithinPartitions(*order)
+    placed = _grouped(rows, groups).repartitionByRange(*order).sortWithinPartitions(*order)
     placed = saved(placed.withColumn("pid", F.spark_partition_id()), "placed")
 
     total, large = _totals(placed, shards)
@@ -53,6 +55,17 @@ def shard_by_bytes(df: DataFrame, shards: int = 8, id_col: str = "doc_id", text_
     )
 
 
+def _grouped(rows: DataFrame, groups: DataFrame) -> DataFrame:
+    """Rows with their group's group_bytes. Groups of more than one row in LARGE (so fewer than LARGE groups) are broadcast; their
+    rows go through the join by spread keys that match nothing, so no task gets all copies of a text."""
+    n = groups.agg(F.coalesce(F.sum("copies"), F.lit(0))).first()[0]
+    large = groups.filter(F.col("copies") * LARGE > n).select(*_KEY, F.col("group_bytes").alias("large_bytes"))
+    found = rows.join(F.broadcast(large), _KEY, "left")
+    spread = F.when(F.col("large_bytes").isNull(), F.col("content")).otherwise(F.xxhash64("doc_id", "content"))
+    found = found.withColumn("met", spread).join(groups.select("size", F.col("content").alias("met"), "text_crc32", "group_bytes"), ["size", "met", "text_crc32"], "left")
+    return found.withColumn("group_bytes", F.coalesce("large_bytes", "group_bytes")).drop("met", "large_bytes")
+
+
 def _totals(placed: DataFrame, shards: int) -> tuple[int, list[int]]:
     """All bytes, and the bytes of the groups that fill a target by themselves (at most `shards`), falling."""
     total = placed.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
